@@ -165,3 +165,21 @@ COSINE = """cosine AS (
   SELECT b.item_id AS q_id, v.vec_id AS chunk_id,
          list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
   FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) v)"""
+
+# lines(doc_id, i, x): sentences of a document; draft_lines adds the markdown line
+DRAFT_LINES = r"""raw_lines AS (
+  SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\. |\n') AS parts FROM documents)),
+draft_lines AS (
+  SELECT doc_id, i, x, CASE
+    WHEN i % 6 = 0 THEN '## ' || (i // 6 + 1) || ' ' || left(x, 40)
+    WHEN i % 6 = 1 THEN x
+    WHEN i % 6 = 2 THEN '| ' || left(x, 12) || ' | ' || doc_id || ' |'
+    WHEN i % 6 = 3 THEN '| --- | :--: |'
+    WHEN i % 6 = 4 THEN '|' || left(x, 10) || '|<information not available ' || (i // 6) || '>|'
+    WHEN i % 12 = 5 THEN '**' || left(x, 12) || '**'
+    ELSE (i // 6 + 1) || '.' || (i // 6) || '. ' || left(x, 30) END AS line FROM raw_lines)"""
+
+
+def headingish(x: str) -> str:
+    return (f"(trim({x}) <> '' AND length(trim({x})) <= 70 AND NOT regexp_matches(trim({x}), '[.;,]$') "
+            f"AND len(regexp_split_to_array(trim({x}), '\\s+')) <= 8 AND regexp_matches({x}, '^\\P{{L}}*[\\p{{Lu}}\\p{{Lt}}]'))")

@@ -94,3 +94,45 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(' < Image ID = \'ab'), n.cast("string"), F.lit("' > on page 3 <IMAGE id=\"x"), (n % 10).cast("string"), F.lit('"/>-\nend '),
     )
     return load(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+SENTENCE_BREAK = r"\. |\n"
+
+
+def draft_text(text, doc_id):
+    """A document as a markdown draft: numbered headings, prose, table rows, bold labels."""
+    def line(x, i):
+        n = F.floor(i / 6).cast("string")
+        up = (F.floor(i / 6) + 1).cast("string")
+        return (
+            F.when(i % 6 == 0, F.concat(F.lit("## "), up, F.lit(" "), F.left(x, F.lit(40))))
+            .when(i % 6 == 1, x)
+            .when(i % 6 == 2, F.concat(F.lit("| "), F.left(x, F.lit(12)), F.lit(" | "), doc_id.cast("string"), F.lit(" |")))
+            .when(i % 6 == 3, F.lit("| --- | :--: |"))
+            .when(i % 6 == 4, F.concat(F.lit("|"), F.left(x, F.lit(10)), F.lit("|<information not available "), n, F.lit(">|")))
+            .when(i % 12 == 5, F.concat(F.lit("**"), F.left(x, F.lit(12)), F.lit("**")))
+            .otherwise(F.concat(up, F.lit("."), n, F.lit(". "), F.left(x, F.lit(30))))
+        )
+
+    return F.array_join(F.transform(F.split(text, SENTENCE_BREAK), line), "\n")
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown draft per document."""
+    return load(spark, sf_dir, "documents").select("doc_id", draft_text(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+def html_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as HTML: headings, paragraphs, lists, tables, images, entities."""
+    def line(x, i):
+        return (
+            F.when(i % 5 == 0, F.concat(F.lit('<h2 class="a">'), F.left(x, F.lit(20)), F.lit("</h2>")))
+            .when(i % 5 == 1, F.concat(F.lit("<p>"), x, F.lit("</p>")))
+            .when(i % 5 == 2, F.concat(F.lit("<ul><li> "), F.left(x, F.lit(15)), F.lit("</li></ul>")))
+            .when(i % 5 == 3, F.concat(F.lit("<TABLE><tr><th> <b>"), F.left(x, F.lit(8)), F.lit("</b></th><th>b</th></tr><tr><td>"),
+                                       i.cast("string"), F.lit("</td></tr></table>")))
+            .otherwise(F.concat(F.lit('<IMAGE id="'), i.cast("string"), F.lit('"/> &lt;'), F.left(x, F.lit(10)), F.lit("&gt; &amp;")))
+        )
+
+    text = F.array_join(F.transform(F.split("text", SENTENCE_BREAK), line), "\n")
+    return load(spark, sf_dir, "documents").select("doc_id", text.alias("html"))
