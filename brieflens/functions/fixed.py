@@ -172,3 +172,65 @@ DIAGRAM_TITLE = (
     r"org(?:anisation|anization)?\s+chart|raci|scope\s+overview|solution\s+overview)\b"
 )
 PLACEHOLDER = r"(?i)<\s*information not available[^>]*>"
+
+# --- fixed values: scorecard ---
+RATINGS = {"Best Practice": 2, "Minimally Meets": 1, "Does Not Meet": 0, "Not Applicable": None}
+RATING_RANK = ["Not Applicable", "Does Not Meet", "Minimally Meets", "Best Practice"]
+NOT_APPLICABLE_FORMS = ["n/a", "na", "not applicable"]
+# (criteria, weight) of categories 1 to 14
+RUBRIC = [(4, 0.07), (3, 0.10), (4, 0.07), (4, 0.10), (5, 0.06), (6, 0.05), (5, 0.05),
+          (4, 0.05), (4, 0.12), (4, 0.08), (4, 0.07), (4, 0.08), (3, 0.07), (3, 0.03)]
+BANDS = [(0.8, "ready"), (0.6, "needs work"), (0.0, "not ready")]
+EVIDENCE_STATES = ["found", "absent", "unassessable"]
+CONFIDENCE_LEVELS = ["high", "medium", "low"]
+RUBRIC_HEADING = r"^### (\d+)\. (.+?) \((\d+) criteria, weight ([\d.]+)\)(.*)$"
+RUBRIC_ROW = r"^\|\s*(\d+)\s*\|([^|\n]*)\|([^|\n]*)\|([^|\n]*)\|([^|\n]*)\|\s*$"
+CHECKLIST_HEADING = r"^### (2\.\d+) ([^(\n]+?)\s*\((\d+) checkpoints\)(.*)$"
+CHECKLIST_ROW = r"^\|\s*(\d+)\s*\|([^|]*)\|([^|]*)\|([^|]*)\|\s*$"
+
+# --- fixed values: review gate ---
+GATE_STATES = ["open", "validated", "waived", "na"]
+RESOLVED_STATES = ["validated", "waived", "na"]
+REASON_STATES = ["waived", "na"]
+APPROVER_STATES = ["waived"]
+
+# --- fixed values: legal baseline ---
+DEVIATION_THRESHOLD = 0.72
+PROTECTED_PHRASES = [
+    "indemnif", "limitation of liability", "liability cap", "not to exceed", "intellectual property",
+    "work made for hire", "confidential", "data protection", "personal data", "gdpr",
+    "termination for convenience", "governing law", "dispute resolution", "warranty", "sole remedy",
+    "force majeure", "insurance", "audit right", "subcontract", "non-solicit", "background ip",
+    "acceptance is deemed",
+]
+
+# --- fixed values: draft quality and isolation ---
+UNFILLED = r"(?i)\[(?:CLIENT|COMPANY|DATE|TBD|TODO|PLACEHOLDER|INSERT|ADD HERE)[^\]]*\]"
+GENERIC_NAME = r"(?i)\b(?:client name|company name|your company)\b"
+PROMPT_COMPANY = r"reference\s+(.+?)\s+throughout|client company:\s*(.+?)(?:\\n|\n|$)"
+
+# --- fixed values: images ---
+IMAGE_SECTION_PHRASES = {
+    "1": ["introduction", "purpose", "scope", "company information", "overview"],
+    "2": ["benefit realization", "business issues", "value drivers", "kpi", "roi"],
+    "3": ["supply chain scope", "supply chain map", "sites", "scenario", "constraints"],
+    "4": ["demand planning", "demand process", "forecast", "demand management"],
+    "5": ["supply planning", "inventory planning", "capacity", "replenishment"],
+    "6": ["data integration", "architecture", "data sources", "interface", "etl"],
+}
+LOGO_WORDS = (
+    r"(?i)\b(?:logo|icon|branding|brand mark|wordmark|company logo|corporate logo|product logo|badge|avatar|bullet)\b"
+)
+DIAGRAM_WEIGHTS = {
+    "architecture_diagram": 1.6, "flowchart": 1.6, "process_flow": 1.6, "process_diagram": 1.6,
+    "timeline": 1.4, "gantt": 1.4, "chart": 1.2, "table": 1.2, "screenshot": 0.8, "photo": 0.5, "other": 0.6,
+}
+FIGURE_LINE = r"^\*?\s*Figure\s+[\d.]+\s*:.*\*?$"
+MARKDOWN_IMAGE = r"!\[[^\]]*\]\(([^)]*)\)"
+OPERATIONAL_DOCS = ["user stories", "user_stories", "workshop", "sprint"]
+
+# --- fixed values: uploads ---
+SOURCE_EXTENSIONS = ["pdf", "docx", "doc", "txt", "xlsx", "xls", "xlsm", "pptx", "ppt", "png", "jpg", "jpeg",
+                     "gif", "webp", "bmp"]
+PROMPT_EXTENSIONS = ["json", "yaml", "yml"]
+MAX_FILE_BYTES = 200 * 1024 * 1024

@@ -133,8 +133,10 @@ def doc_search(queries: DataFrame, chunks: DataFrame, k: int = 5, snippet_chars:
 # ---------------------------------------------------------------- substring counts without a cross join
 
 def _grams(c: Column) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    """Distinct substrings of one to three characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[
+        F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
 
 
 def _field_words(name: str, c: Column) -> Column:
@@ -150,12 +152,11 @@ def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFr
     distinct words of the corpus are matched to the terms (an equi-join on the
     term's first three characters, then `contains`), and the matches are joined
     to the words of each chunk.  No text is compared with a term directly.
-    Terms must have at least three characters.
     """
     words = chunks.select("chunk_id", F.explode(F.concat(*[
         _field_words(name, c) for name, c in fields.items()
     ])).alias("w")).select("chunk_id", "w.*")
-    vocabulary = words.select("word").distinct().filter(F.length("word") >= 3)
+    vocabulary = words.select("word").distinct()
     keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
     matches = keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import keywords as K
 
 DOC_SUFFIXES = ["-solution.docx", "-draft.docx", "-template.docx", ".pdf", "-user stories.docx", "-wip.docx", ".docx"]
@@ -136,3 +137,56 @@ def html_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.array_join(F.transform(F.split("text", SENTENCE_BREAK), line), "\n")
     return load(spark, sf_dir, "documents").select("doc_id", text.alias("html"))
+
+
+def criteria(spark: SparkSession) -> DataFrame:
+    """The rubric as a table: category_no, criterion_id, weight."""
+    rows = [(no, f"{no}.{i}", weight) for no, (n, weight) in enumerate(fixed.RUBRIC, 1) for i in range(1, n + 1)]
+    return spark.createDataFrame(rows, "category_no int, criterion_id string, weight double")
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`labels` as criterion ratings: 57 documents make one project."""
+    n = F.col("doc_id")
+    ids = [f"{no}.{i}" for no, (k, _) in enumerate(fixed.RUBRIC, 1) for i in range(1, k + 1)]
+    rating = (
+        F.when((F.col("toxic") == 1) | (n % 57).between(11, 14) & (F.expr("doc_id div 57") % 3 == 0), "n/a")
+        .when((F.col("quality") == 1) & (n % 2 == 0), "✅ Best Practice").when(F.col("quality") == 1, " minimally meets ")
+        .when(n % 7 == 0, "Excellent").otherwise("❌ Does Not Meet"))
+    return load(spark, sf_dir, "labels").select(
+        F.concat(F.lit("p"), F.expr("doc_id div 57").cast("string")).alias("project_id"),
+        pick(n % 57, ids).alias("criterion_id"), rating.alias("rating"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three verdicts per label row, one per part of a split deck, with citations."""
+    n = F.col("doc_id")
+    ids = [f"{no}.{i}" for no, (k, _) in enumerate(fixed.RUBRIC, 1) for i in range(1, k + 1)] + ["99.1"]
+    part = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("part")
+    rows = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", part)
+    p = F.col("part")
+    return rows.select(
+        F.concat(F.lit("p"), F.expr("doc_id div 58").cast("string")).alias("project_id"),
+        pick(n % 58, ids).alias("criterion_id"), p.cast("int").alias("part"),
+        pick((n + p * F.col("quality")) % 5, ["Not Applicable", "Does Not Meet", "❌ does not meet", "Best Practice", "Excellent"]).alias("rating"),
+        pick(n % 3, ["HIGH", "extremely sure", "low"]).alias("confidence"),
+        pick(n % 4, ["found", "Absent", "maybe", "unassessable"]).alias("evidence_status"),
+        F.array(
+            F.struct(pick((n + p) % 3, ["Deck.pptx", "deck.PPTX", "Other"]).alias("doc"), ((n + p) % 50).cast("int").alias("slide")),
+            F.struct(F.lit("Deck.pptx").alias("doc"), ((n * p) % 45).cast("int").alias("slide"))).alias("slides"))
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company per document: a long word of its text, half of them with a suffix."""
+    n = F.col("doc_id")
+    word = F.regexp_extract("text", "([A-Za-z]{7,12})", 1)
+    return load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), n.cast("string")).alias("project_id"),
+        F.when(word == "", "").when(n % 4 == 0, F.concat(word, F.lit(" and"))).otherwise(word).alias("company"))
+
+
+def approved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the approved text of section 1 of its own project."""
+    return load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("project_id"), F.lit("1").alias("section_id"),
+        F.col("text").alias("content"))
