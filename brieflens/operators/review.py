@@ -103,7 +103,7 @@ def scorecard_summary(criteria: DataFrame, ratings: DataFrame, failed: DataFrame
     open_failures = failed.join(rated, ["project_id", "criterion_id"], "left_anti").groupBy("project_id").agg(
         F.count_distinct("criterion_id").alias("failed_count"))
     return total.join(open_failures, "project_id", "left").select(
-        "project_id", F.round(F.col("total") * 100, 1).alias("total_pct"), "band", "complete", "unrated_count",
+        "project_id", F.round(F.round("total", 9) * 100, 1).alias("total_pct"), "band", "complete", "unrated_count",
         F.coalesce("failed_count", F.lit(0)).alias("failed_count"))
 
 

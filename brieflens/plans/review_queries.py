@@ -73,12 +73,12 @@ CARD_OVER = f"{RATINGS}, {WEIGHTS}, " + scorecard_sql(
 
 @register("scorecard", f"""
 WITH {CARD_OVER} SELECT project_id, category_no, round(avg, 6) AS avg, rated_count, na_count, criteria_count - rated_count - na_count AS unrated_count,
-  round(effective_weight, 6) AS effective_weight, round(score_pct * effective_weight, 6) AS weighted FROM rows2""")
+  round(effective_weight, 6) AS effective_weight, round(score_pct * effective_weight + 1e-9, 6) AS weighted FROM rows2""")
 def scorecard(spark, d):
     weights = R.effective_weights(T.criteria(spark).select("category_no", "weight").distinct(), overrides(spark, d))
     rows = R.scorecard(T.criteria(spark), T.ratings(spark, d), weights)
     return rows.select("project_id", "category_no", F.round("avg", 6).alias("avg"), "rated_count", "na_count", "unrated_count",
-                       F.round("effective_weight", 6).alias("effective_weight"), F.round("weighted", 6).alias("weighted"))
+                       F.round("effective_weight", 6).alias("effective_weight"), F.round(F.col("weighted") + 1e-9, 6).alias("weighted"))
 
 
 TOTALS = f"""{CARD}, totals AS (SELECT project_id, sum(score_pct * effective_weight) AS total, sum(criteria_count - rated_count - na_count)::BIGINT AS unrated_count FROM rows2 GROUP BY project_id)"""
@@ -93,7 +93,7 @@ def score_band(spark, d):
 @register("scorecard_summary", f"""
 WITH {TOTALS}, failed AS (SELECT DISTINCT 'p' || (doc_id // 57) AS project_id, {O.pick('(doc_id + 1) % 57', IDS)} AS criterion_id FROM labels WHERE doc_id % 3 = 0),
 open AS (SELECT project_id, count(*) AS n FROM failed f WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.project_id = f.project_id AND r.criterion_id = f.criterion_id AND r.rating IS NOT NULL) GROUP BY project_id)
-SELECT project_id, round(total * 100, 1) AS total_pct, {BAND} AS band, unrated_count, unrated_count = 0 AS complete, coalesce(n, 0) AS failed_count FROM totals LEFT JOIN open USING (project_id)""")
+SELECT project_id, round(round(total, 9) * 100, 1) AS total_pct, {BAND} AS band, unrated_count, unrated_count = 0 AS complete, coalesce(n, 0) AS failed_count FROM totals LEFT JOIN open USING (project_id)""")
 def scorecard_summary(spark, d):
     n = F.col("doc_id")
     failed = T.load(spark, d, "labels").filter(n % 3 == 0).select(
@@ -254,7 +254,7 @@ def review_summary(spark, d):
 # ---------------------------------------------------------------- legal baseline
 
 @register("baseline_supersede", """
-WITH u AS (SELECT l_orderkey AS baseline_id, l_linenumber::BIGINT AS stored_at, CASE WHEN l_linenumber = 3 THEN ' ' ELSE 'v' || l_linenumber END AS version,
+WITH u AS (SELECT l_orderkey AS baseline_id, l_linenumber * 1000000000::BIGINT + l_partkey * 10000 + l_suppkey AS stored_at, CASE WHEN l_linenumber = 3 THEN ' ' ELSE 'v' || l_linenumber END AS version,
     CASE WHEN l_quantity > 40 THEN 'soon' WHEN l_quantity < 3 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS effective_date FROM lineitem),
 c AS (SELECT *, CASE WHEN trim(version) = '' THEN 'version required' WHEN effective_date = '' THEN 'date required' WHEN effective_date = 'soon' THEN 'date not ISO' END AS rejected FROM u),
 w AS (SELECT *, lead(version) OVER (PARTITION BY baseline_id, rejected IS NULL ORDER BY stored_at) AS nxt, lead(stored_at) OVER (PARTITION BY baseline_id, rejected IS NULL ORDER BY stored_at) AS nxt_at FROM c)
@@ -263,7 +263,7 @@ def baseline_supersede(spark, d):
     """Line items of an order read as the uploads of one baseline."""
     line = F.col("l_linenumber")
     uploads = T.load(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("baseline_id"), line.cast("long").alias("stored_at"),
+        F.col("l_orderkey").alias("baseline_id"), (line.cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("stored_at"),
         F.when(line == 3, " ").otherwise(F.concat(F.lit("v"), line.cast("string"))).alias("version"),
         F.when(F.col("l_quantity") > 40, "soon").when(F.col("l_quantity") < 3, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("effective_date"))
     return R.baseline_supersede(uploads)
