@@ -101,8 +101,11 @@ def review_sections(sections: DataFrame, approved: DataFrame, state: DataFrame)
     whole = F.array(F.struct(F.col("parent_id").alias("id"), F.col("draft_content").alias("content")))
     split = S.split_marked(F.col("draft_content"), F.col("ids"))
     pieces = drafts.withColumn("_parts", split).select(
-        "project_id", F.explode(F.when((F.size("ids") > 1) & (F.size("_parts") > 0), F.col("_parts")).otherwise(whole)).alias("p")).select(
-        "project_id", F.col("p.id").alias("section_id"), F.col("p.content").alias("_draft"))
+        "project_id", "parent_id",
+        F.explode(F.when((F.size("ids") > 1) & (F.size("_parts") > 0), F.col("_parts")).otherwise(whole)).alias("p"))
+    # a section drafted under several parents takes the text of the outermost
+    pieces = pieces.groupBy("project_id", F.col("p.id").alias("section_id")).agg(
+        F.min_by("p.content", F.struct(F.size(F.split("parent_id", r"\.")), "parent_id")).alias("_draft"))
     rows = all_with_status(sections, approved).join(pieces, KEY, "left")
     lacking = X.strip(X.text_or_empty(F.col("content"))) == ""
     use = lacking & F.col("_draft").isNotNull()
@@ -201,7 +204,7 @@ def fuzzy_suggest(headings: DataFrame, sections: DataFrame, threshold: float = 0
 
     A project's section list is short; headings meet only their own project's titles.
     """
-    pairs = headings.join(sections.select("project_id", "section_id", "title", "ord"), "project_id")
+    pairs = headings.select("project_id", "line_no", "text").join(sections.select("project_id", "section_id", "title", "ord"), "project_id")
     scored = pairs.withColumn("score", F.round(seq_ratio(F.lower(X.strip(F.col("text"))), F.lower(X.strip(F.col("title")))), 2))
     return top_k(scored.filter(F.col("score") >= threshold), ["project_id", "line_no"],
                  [F.col("score").desc(), F.col("ord")], k).select("project_id", "line_no", "text", "rn", "section_id", "title", "score")

@@ -190,3 +190,26 @@ def approved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("project_id"), F.lit("1").alias("section_id"),
         F.col("text").alias("content"))
+
+
+DIAGRAM_TYPES = ["flowchart", "logo", "chart", "screenshot", "", "other", "timeline", "photo"]
+CAPTION_HEADS = ["Architecture of ", "Company logo ", "Flow: ", "", "Badge "]
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image record per document: exact copies of a text share the image id."""
+    n = F.col("doc_id")
+    file_no = F.expr("doc_id div 20")
+    caption = F.when(n % 5 == 3, F.left(F.sha2("text", 256), F.lit(12))).otherwise(
+        F.concat(pick(n % 5, CAPTION_HEADS), F.regexp_extract("text", r"^(\S+\s+){0,4}\S+", 0)))
+    keywords = F.when(n % 9 == 4, F.array().cast("array<string>")).otherwise(F.slice(K.keywords_tf(F.col("text")), 1, 5))
+    return load(spark, sf_dir, "documents").select(
+        n.alias("row_id"), F.when(n % 50 == 49, "").otherwise(F.left(F.sha2("text", 256), F.lit(12))).alias("image_id"),
+        F.concat(F.lit("F"), file_no.cast("string"), pick(file_no % 7, DOC_SUFFIXES)).alias("source_doc"),
+        F.nullif(n % 7, F.lit(0)).alias("page_number"), caption.alias("caption"), keywords.alias("keywords"),
+        pick(n % 8, DIAGRAM_TYPES).alias("diagram_type"), pick(n % 4, ["unknown", "4 Demand", "6", ""]).alias("section_hint"),
+        F.when(n % 6 == 0, "3.2 Sites").when(n % 6 == 1, "unknown").otherwise(F.regexp_extract("text", r"^([^\s.,|]+)", 1)).alias("section_heading"),
+        F.left("text", F.lit(120)).alias("description"), pick(n % 3, ["", "4", "6"]).alias("brd_section_id"),
+        F.array(F.col("lang"), F.concat(F.lit("Tag"), (n % 10).cast("string"))).alias("tags"),
+        F.when(n % 11 == 0, "slide").otherwise("picture").alias("render_kind"),
+        F.concat(F.lit("lib"), (n % 3).cast("string")).alias("image_repo_id"))
