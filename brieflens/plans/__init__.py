@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import CATALOG
 
-MODULES = ["text", "ranking", "context", "structure", "checks", "review", "sections", "projects", "images"]
+MODULES = ["text", "ranking", "context", "structure", "checks", "review", "sections", "projects", "images", "topics", "store"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}_queries")
