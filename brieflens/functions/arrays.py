@@ -19,7 +19,7 @@ def term_counts(words: Column) -> Column:
     `first` is the position of the first appearance.  Cost is n log n per row,
     against a corpus-wide shuffle for an explode and a group-by.
     """
-    tagged = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    tagged = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
 
     def starts(s: Column) -> Column:
         return F.filter(

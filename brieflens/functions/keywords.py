@@ -9,28 +9,32 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from . import text as X
-from .arrays import term_counts
+from .arrays import let, term_counts
 
 
 def keywords_tf(text: Column, limit: int = fixed.KEYWORDS_PER_CHUNK) -> Column:
     """Most frequent words plus Capitalised Phrases (weight two), first-seen ties."""
     stop = F.array(*[F.lit(w) for w in fixed.KEYWORD_STOP])
     words = F.filter(
-        F.regexp_extract_all(F.lower(X.text_or_empty(text)), F.lit("[a-z]{3,}"), F.lit(0)),
-        lambda w: ~F.array_contains(stop, w),
-    )
+        F.split(F.regexp_replace(F.lower(X.text_or_empty(text)), "[^a-z]+", " "), " "), lambda w: F.length(w) >= 3)
     phrases = F.filter(
         F.regexp_extract_all(X.text_or_empty(text), F.lit(X.uni(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+")), F.lit(0)),
         lambda p: F.length(p) > 5,
     )
+    # stop words leave after counting: the list is searched once per distinct word
+    counted = F.filter(term_counts(words), lambda t: ~F.array_contains(stop, t["term"]))
     scored = F.concat(
-        F.transform(term_counts(words), lambda t: F.struct(
+        F.transform(counted, lambda t: F.struct(
             (-t["n"]).alias("rank"), F.lit(0).alias("kind"), t["first"].alias("first"), F.initcap(t["term"]).alias("term"))),
         F.transform(term_counts(phrases), lambda t: F.struct(
             (t["n"] * -2).alias("rank"), F.lit(1).alias("kind"), t["first"].alias("first"), t["term"].alias("term"))),
     )
-    best = F.transform(F.slice(F.array_sort(scored), 1, limit), lambda t: t["term"])
-    return F.when(F.size(words) > 0, best).otherwise(F.array().cast("array<string>"))
+    def best(rows: Column) -> Column:
+        named = F.exists(rows, lambda t: t["kind"] == 0)  # phrases count only beside words
+        top = F.transform(F.slice(F.sort_array(rows), 1, limit), lambda t: t["term"])
+        return F.when(named, top).otherwise(F.array().cast("array<string>"))
+
+    return let(scored, best)
 
 
 def phrase_class(haystack: Column, phrases: dict[str, list[str]]) -> Column:

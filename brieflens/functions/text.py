@@ -82,7 +82,7 @@ def expand_terms(c: Column) -> Column:
     ])
     own = tokens(c)
     extra = F.flatten(F.transform(own, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
-    return F.array_sort(F.array_distinct(F.concat(own, extra)))
+    return F.sort_array(F.array_distinct(F.concat(own, extra)))
 
 
 # ---------------------------------------------------------------- cleaning

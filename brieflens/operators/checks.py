@@ -60,7 +60,7 @@ def section_body(sections: DataFrame) -> DataFrame:
     """project_id, section_id, body: a section's own text, then its descendants' in order."""
     parts = _text_parts(sections)
     return parts.groupBy("project_id", "section_id").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "ord", "content"))).alias("parts")).select(
+        F.sort_array(F.collect_list(F.struct("kind", "ord", "content"))).alias("parts")).select(
         "project_id", "section_id", _joined(F.col("parts")).alias("body"))
 
 
@@ -89,7 +89,7 @@ def area_texts(sections: DataFrame) -> DataFrame:
         F.col("section_id") != F.col("_found")).select(
         "project_id", F.lit("change").alias("area"), F.lit(2).alias("kind"), "ord", "content")
     bodies = inside.unionByName(siblings).groupBy("project_id", "area").agg(
-        _joined(F.array_sort(F.collect_list(F.struct("kind", "ord", "content")))).alias("body"))
+        _joined(F.sort_array(F.collect_list(F.struct("kind", "ord", "content")))).alias("body"))
     found = located.join(bodies, ["project_id", "area"], "left").select(
         "project_id", "area", F.struct("section_id", "title", F.coalesce("body", F.lit("")).alias("body")).alias("s"))
     mapped = found.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("area", "s"))).alias("areas"))
@@ -247,7 +247,7 @@ def check_governance(owner: Column, client: Column, supplier: str) -> list[Colum
         con.flag(~con.filled & ~con_here, "contacts_missing", placed=False),
     ]
     for place, when in ((esc, esc.filled), (gov, ~esc.filled & esc_here)):
-        levels = F.array_sort(F.array_distinct(F.regexp_extract_all(place.body, F.lit(X.uni(C.LEVEL)), F.lit(1))))
+        levels = F.sort_array(F.array_distinct(F.regexp_extract_all(place.body, F.lit(X.uni(C.LEVEL)), F.lit(1))))
         gaps = F.array_except(F.array(F.lit("1"), F.lit("2"), F.lit("3")), levels)
         named = F.when(F.size(levels) > 0, F.array_join(levels, ", ")).otherwise("none")
         flags += [
@@ -427,4 +427,4 @@ def check_summary(flags: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("high"))
     return per_story.groupBy("project_id").agg(
         F.sum("n").alias("flag_count"), F.sum("high").alias("high_count"),
-        F.array_join(F.array_sort(F.collect_list(F.concat("story", F.lit(":"), F.col("n").cast("string")))), " ").alias("by_story"))
+        F.array_join(F.sort_array(F.collect_list(F.concat("story", F.lit(":"), F.col("n").cast("string")))), " ").alias("by_story"))

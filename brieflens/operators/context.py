@@ -208,8 +208,8 @@ def cross_section_dedupe(hits: DataFrame, k: int, enough: int = 4) -> DataFrame:
     the project's sections; only ids enter the fold.
     """
     lists = hits.groupBy("project_id", "ord", "section_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "chunk_id"))), lambda h: h["chunk_id"]).alias("ids"))
-    walk = lists.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "ids"))).alias("steps"))
+        F.transform(F.sort_array(F.collect_list(F.struct("rn", "chunk_id"))), lambda h: h["chunk_id"]).alias("ids"))
+    walk = lists.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("ord", "section_id", "ids"))).alias("steps"))
     start = F.struct(
         F.array().cast("array<bigint>").alias("used"),
         F.array().cast("array<struct<section_id:string,ids:array<bigint>>>").alias("kept"))

@@ -79,7 +79,7 @@ def answer_first_seen(questions: DataFrame, ttl: float = fixed.ANSWER_TTL_SECOND
     runs = buckets.withColumn("_new", open_new.cast("int")).withColumn("run", F.sum("_new").over(order)).select("key", "day", "run")
     placed = questions.withColumn("day", edge).join(runs, ["key", "day"])
     firsts = placed.groupBy("key", "run", "at").agg(F.min("id").alias("id"))
-    times = firsts.groupBy("key", "run").agg(F.array_sort(F.collect_list("at")).alias("asks"))
+    times = firsts.groupBy("key", "run").agg(F.sort_array(F.collect_list("at")).alias("asks"))
     start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<double>").alias("out"))
 
     def step(s: Column, at: Column) -> Column:

@@ -117,7 +117,7 @@ def merge_verdicts(verdicts: DataFrame) -> DataFrame:
     best = F.struct(rating_rank(F.col("rating")).alias("rank"), (-F.col("part")).alias("late"))
     merged = verdicts.groupBy("project_id", "criterion_id").agg(
         F.max_by(F.struct(*rest, "slides"), best).alias("best"),
-        F.array_sort(F.collect_list(F.struct("part", "slides"))).alias("parts"))
+        F.sort_array(F.collect_list(F.struct("part", "slides"))).alias("parts"))
     all_slides = F.flatten(F.transform("parts", lambda p: p["slides"]))
     return merged.select(
         "project_id", "criterion_id", *[F.col(f"best.{c}").alias(c) for c in rest],
@@ -143,7 +143,7 @@ def validate_verdicts(verdicts: DataFrame, criteria: DataFrame, slide_counts: Da
         slide_counts.select("doc", "n"), "doc", "left")
     inside = F.col("slide").between(1, F.coalesce("n", F.lit(0)))
     checked = named.groupBy("project_id", "criterion_id", "part").agg(
-        F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "doc", "slide")))).alias("_good"),
+        F.sort_array(F.collect_list(F.when(inside, F.struct("pos", "doc", "slide")))).alias("_good"),
         F.count_if(~inside).alias("dropped_citations"))
     tidy = F.transform("_good", lambda s: F.struct(s["doc"].alias("doc"), s["slide"].alias("slide")))
     confidence = F.lower(F.coalesce("confidence", F.lit("")))
@@ -214,7 +214,7 @@ def rubric_criteria(parsed: DataFrame) -> DataFrame:
 def rubric_check(parsed: DataFrame) -> DataFrame:
     """Whether a file is a usable rubric: counts agree, spans and weights are as expected."""
     sizes = [n for n, _ in fixed.RUBRIC]
-    got = F.transform(F.array_sort(F.collect_list(F.struct("category_no", "parsed"))), lambda c: c["parsed"])
+    got = F.transform(F.sort_array(F.collect_list(F.struct("category_no", "parsed"))), lambda c: c["parsed"])
     facts = parsed.groupBy("file_id").agg(
         F.bool_and(F.col("declared") == F.col("parsed")).alias("counts_agree"), got.alias("spans"),
         F.sum("parsed").alias("criteria"), F.round(F.sum("weight"), 6).alias("weight_sum"))
@@ -418,7 +418,7 @@ def foreign_mentions(approved: DataFrame, companies: DataFrame) -> DataFrame:
     """
     named = companies.select("project_id", X.strip(F.col("company")).alias("company")).filter("company <> ''")
     names = named.groupBy(F.lower("company").alias("name")).agg(F.count("*").alias("foreign_projects"))
-    longest = F.get(F.array_sort(F.transform(
+    longest = F.get(F.sort_array(F.transform(
         F.split("name", X.uni(r"\s+")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word")))), F.lit(0))["word"]
     keyed = names.withColumn("term", longest)
     texts = approved.filter(X.text_or_empty(F.col("content")) != "").withColumn(

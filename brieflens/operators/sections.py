@@ -130,7 +130,7 @@ def story_text(sections: DataFrame, approved: DataFrame, limit: int = 20_000) ->
     part = F.concat(F.lit("## Section "), "section_id", F.lit(": "), F.coalesce("title", F.concat(F.lit("Section "), "section_id")),
                     F.lit("\n"), "content")
     joined = rows.groupBy("project_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(X.section_sort_key(F.col("section_id")).alias("k"), part.alias("part")))),
+        F.sort_array(F.collect_list(F.struct(X.section_sort_key(F.col("section_id")).alias("k"), part.alias("part")))),
         lambda r: r["part"]), "\n\n").alias("text"))
     return joined.select("project_id", F.when(F.length("text") > limit, F.concat(
         F.left("text", F.lit(limit)), F.lit("\n\n[... content truncated ...]"))).otherwise(F.col("text")).alias("text"))

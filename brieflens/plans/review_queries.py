@@ -150,7 +150,7 @@ FROM best b JOIN ok o USING (project_id, criterion_id) GROUP BY ALL""")
 def merge_verdicts(spark, d):
     good = checked(spark, d).filter("problem is null").select("project_id", "criterion_id", "part", "rating", "slides")
     merged = R.merge_verdicts(good)
-    cites = F.array_sort(F.transform("slides", lambda s: F.concat(s["doc"], F.lit("#"), s["slide"].cast("string"))))
+    cites = F.sort_array(F.transform("slides", lambda s: F.concat(s["doc"], F.lit("#"), s["slide"].cast("string"))))
     return merged.select("project_id", "criterion_id", "rating", F.array_join(cites, " ").alias("slides"))
 
 

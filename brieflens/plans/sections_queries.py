@@ -66,7 +66,7 @@ def state(spark, d):
     rows = D.contracts(spark, d)
     blocks = S.families(secs(spark, d)).join(rows.select("project_id", "section_id", "content"), ["project_id", "section_id"])
     joined = blocks.groupBy("project_id", F.col("parent_id").alias("section_id")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "section_id", "content"))).alias("b"))
+        F.sort_array(F.collect_list(F.struct("ord", "section_id", "content"))).alias("b"))
     marked = F.array_join(F.transform("b", lambda x: F.concat(F.lit("### "), x["section_id"], F.lit(" t\n"), x["content"])), "\n")
     plain = F.array_join(F.transform("b", lambda x: x["content"]), "\n")
     return joined.filter(n % 4 > 0).select("project_id", "section_id", F.when(n % 2 == 0, marked).otherwise(plain).alias("draft_content"))

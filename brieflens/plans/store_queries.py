@@ -52,11 +52,11 @@ def deleted_counts(spark, d):
 
 @register("replace_file_chunks", f"""
 WITH {O.CHUNKS}, kept AS (SELECT project_id, file_id, chunk_id, chunk_text FROM chunks WHERE CAST(substring(file_id, 2) AS INT) % 4 <> 1), top AS (SELECT project_id, max(chunk_id) AS m FROM kept GROUP BY project_id),
-new AS (SELECT project_id, file_id, upper(chunk_text) AS chunk_text, row_number() OVER (PARTITION BY project_id ORDER BY chunk_id) AS seq FROM chunks WHERE CAST(substring(file_id, 2) AS INT) % 4 = 1)
+new AS (SELECT project_id, file_id, 'new: ' || chunk_text AS chunk_text, row_number() OVER (PARTITION BY project_id ORDER BY chunk_id) AS seq FROM chunks WHERE CAST(substring(file_id, 2) AS INT) % 4 = 1)
 SELECT * FROM kept UNION ALL SELECT n.project_id, file_id, coalesce(m, -1) + seq, chunk_text FROM new n LEFT JOIN top USING (project_id)""")
 def replace_file_chunks(spark, d):
     chunks = T.chunks(spark, d).select("project_id", "file_id", "chunk_id", "chunk_text")
-    new = chunks.filter(F.substring("file_id", 2, 9).cast("int") % 4 == 1).withColumn("chunk_text", F.upper("chunk_text")).withColumn("pos", F.col("chunk_id"))
+    new = chunks.filter(F.substring("file_id", 2, 9).cast("int") % 4 == 1).withColumn("chunk_text", F.concat(F.lit("new: "), "chunk_text")).withColumn("pos", F.col("chunk_id"))
     return S.replace_file_chunks(chunks, new, "pos")
 
 

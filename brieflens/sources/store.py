@@ -59,7 +59,7 @@ def sheet_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 def sheet_block(rows: DataFrame, columns: list[str], doc_name: Column) -> DataFrame:
     """One text block per sheet: heading, column line, one line per row; a sheet is one document."""
     joined = sheet_lines(rows, columns).groupBy("sheet").agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("ls"))
+        F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("ls"))
     heading = F.concat(doc_name, F.lit(" — Sheet: "), "sheet")
     text = F.concat(heading, F.lit("\nColumns: " + " | ".join(columns) + "\n"), F.array_join(F.transform("ls", lambda r: r["line"]), "\n"))
     return joined.select("sheet", heading.alias("heading"), text.alias("text"))
@@ -147,7 +147,7 @@ def deck_slides(chunks: DataFrame) -> DataFrame:
     """Text per document and page in chunk order; unpaged text is kept under a null page."""
     filled = chunks.filter(X.strip(X.text_or_empty(F.col("chunk_text"))) != "")
     joined = filled.groupBy("doc_name", "page_number").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_id", "chunk_text"))).alias("parts"))
+        F.sort_array(F.collect_list(F.struct("chunk_id", "chunk_text"))).alias("parts"))
     return joined.select("doc_name", "page_number", F.array_join(F.transform("parts", lambda p: p["chunk_text"]), "\n").alias("text"))
 
 
