@@ -1,0 +1,22 @@
+"""Reliable checkpoints for small results that several branches of a plan read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by `spark.checkpoint.dir`; a temporary one only where it is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="brieflens-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once, keep in the checkpoint folder, read from there by every branch."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.arrays import count_in, let, term_counts
+from .lineage import cut
 from .numbering import top_k
 
 ALL_CHUNKS = ""  # pseudo term carried by every chunk: its count is N, its length sum the corpus length
@@ -66,7 +67,8 @@ def bm25_scores(terms: DataFrame, post: DataFrame) -> DataFrame:
     """q_id, chunk_id, score for every pair that shares a term."""
     vocabulary = terms.select("term").distinct()
     every = vocabulary.limit(1).select(F.lit(ALL_CHUNKS).alias("term"))
-    stats = term_statistics(post.join(vocabulary.unionByName(every), "term", "left_semi"))
+    # one row per query term, read three times below: one pass over the corpus, not three
+    stats = cut(term_statistics(post.join(vocabulary.unionByName(every), "term", "left_semi")))
     totals = stats.filter(F.col("term") == ALL_CHUNKS)
     n = totals.select("df").scalar()
     avgdl = totals.select(F.col("total_dl") / F.col("df")).scalar()
@@ -159,8 +161,8 @@ def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFr
     vocabulary = words.select("word").distinct()
     keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
-    matches = keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(
-        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
+    matches = cut(keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(
+        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits")))
     found = words.join(matches, "word")
     return found.groupBy("chunk_id", "term").agg(*[
         F.sum(F.when(F.col("field") == name, F.col("n") * F.col("hits")).otherwise(0)).alias(name)

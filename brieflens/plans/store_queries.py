@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as B
+from ..operators.lineage import checkpoint_dir
 from ..sources import store as S
 from ..sources import tables as T
 from . import oracle as O
@@ -126,10 +129,7 @@ def rejoin_tables_by_doc(spark, d):
 @register("chunk_store")
 def chunk_store(spark, d):
     """Write the chunk table, overwrite one project, read it back."""
-    import tempfile
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="brieflens-")
-    import uuid
-    path = f"{base.rstrip('/')}/chunk_store_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/chunk_store_{uuid.uuid4().hex}"
     chunks = T.chunks(spark, d).select("chunk_id", "file_id", "doc_name", "chunk_text", "project_id")
     S.write_chunks(chunks, path)
     S.write_chunks(chunks.filter("project_id = 'p3'").withColumn("doc_name", F.lit("Replaced")), path)
