@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import keywords as K
 from ..functions import text as X
 from ..functions.arrays import term_counts
+from .lineage import small_side
 from .numbering import top_k
 
 
@@ -73,7 +74,7 @@ def okapi_scores(queries: DataFrame, images: DataFrame, k1: float = 1.5, b: floa
         F.count("*").alias("qn"))
     weighted = asked.join(idf, "term").withColumn("avgdl", avgdl)
     part = F.col("qn") * F.col("idf") * (F.col("n") * (k1 + 1)) / (F.col("n") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return counted.join(weighted, "term").groupBy("q_id", "row_id").agg(F.sum(part).alias("score"))
+    return counted.join(small_side(weighted), "term").groupBy("q_id", "row_id").agg(F.sum(part).alias("score"))
 
 
 def term_coverage(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def term_coverage(queries: DataFrame, images: DataFrame) -> DataFrame:
     asked = queries.select("q_id", F.array_distinct(X.tokens_min3(F.col("query"))).alias("q"))
     terms = asked.select("q_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
     held = images.select("row_id", F.explode(F.array_distinct(X.tokens_min3(content_text()))).alias("term"))
-    return held.join(terms, "term").groupBy("q_id", "row_id").agg((F.count("*") / F.max("n_terms")).alias("coverage"))
+    return held.join(small_side(terms), "term").groupBy("q_id", "row_id").agg((F.count("*") / F.max("n_terms")).alias("coverage"))
 
 
 def image_search(

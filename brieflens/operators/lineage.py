@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -20,3 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once, keep in the checkpoint folder, read from there by every branch."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 500_000  # narrow rows (ids, a term, a weight): some tens of megabytes
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The query side of a join: broadcast if a count shows it is small, else a sort-merge join.
+
+    The planner cannot know how far an exploded text grows, so left alone it may
+    broadcast the corpus side; the count stops at `rows` + 1.
+    """
+    kept = cut(df)
+    fits = kept.limit(rows + 1).count() <= rows
+    return F.broadcast(kept) if fits else kept.hint("merge")

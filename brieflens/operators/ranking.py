@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.arrays import count_in, let, term_counts
-from .lineage import cut
+from .lineage import cut, small_side
 from .numbering import top_k
 
 ALL_CHUNKS = ""  # pseudo term carried by every chunk: its count is N, its length sum the corpus length
@@ -68,28 +68,22 @@ def bm25_scores(terms: DataFrame, post: DataFrame) -> DataFrame:
     vocabulary = terms.select("term").distinct()
     every = vocabulary.limit(1).select(F.lit(ALL_CHUNKS).alias("term"))
     # one row per query term, read three times below: one pass over the corpus, not three
-    stats = cut(term_statistics(post.join(vocabulary.unionByName(every), "term", "left_semi")))
-    totals = stats.filter(F.col("term") == ALL_CHUNKS)
-    n = totals.select("df").scalar()
-    avgdl = totals.select(F.col("total_dl") / F.col("df")).scalar()
+    stats = cut(term_statistics(post.join(small_side(vocabulary.unionByName(every)), "term", "left_semi")))
+    totals = stats.filter(F.col("term") == ALL_CHUNKS).first()  # one row
+    n, avgdl = (totals["df"], totals["total_dl"] / totals["df"]) if totals else (0, 0.0)
     weighted = terms.join(stats.filter(F.col("term") != ALL_CHUNKS), "term").select(
-        "q_id", "term",
-        F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        avgdl.alias("avgdl"),
-    )
-    norm = F.when(
-        F.col("avgdl") > 0,
-        fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl")),
-    ).otherwise(1.0)
+        "q_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.lit(float(avgdl))) if avgdl else F.lit(1.0)
 
     def saturated(tf: str) -> Column:
-        return F.when(F.col(tf) > 0, F.col("idf") * F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)).otherwise(0.0)
+        return F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)
 
-    part = fixed.HEADING_WEIGHT * saturated("tf_h") + fixed.BODY_WEIGHT * saturated("tf_b")
+    # everything but the idf depends on the posting alone, so it is computed before the join multiplies rows
+    weight = F.col("prior") * (fixed.HEADING_WEIGHT * saturated("tf_h") + fixed.BODY_WEIGHT * saturated("tf_b"))
     return (
-        post.join(weighted, "term")
+        post.select("chunk_id", "term", weight.alias("w")).join(small_side(weighted), "term")
         .groupBy("q_id", "chunk_id")
-        .agg(F.sum(part * F.col("prior")).alias("score"))
+        .agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
         .filter(F.col("score") > 0)
     )
 
@@ -141,9 +135,12 @@ def _grams(c: Column) -> Column:
         F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
 
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(X.text_or_empty(c)), X.uni(r"\s+")), lambda w: w != "")
+
+
 def _field_words(name: str, c: Column) -> Column:
-    words = F.filter(F.split(F.lower(X.text_or_empty(c)), X.uni(r"\s+")), lambda w: w != "")
-    return F.transform(term_counts(words), lambda t: F.struct(
+    return F.transform(term_counts(_words(c)), lambda t: F.struct(
         F.lit(name).alias("field"), t["term"].alias("word"), t["n"].alias("n")))
 
 
@@ -158,10 +155,11 @@ def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFr
     words = chunks.select("chunk_id", F.explode(F.concat(*[
         _field_words(name, c) for name, c in fields.items()
     ])).alias("w")).select("chunk_id", "w.*")
-    vocabulary = words.select("word").distinct()
+    vocabulary = chunks.select(F.explode(F.array_distinct(F.concat(*[
+        _words(c) for c in fields.values()]))).alias("word")).distinct()
     keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
-    matches = cut(keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(
+    matches = small_side(keyed.join(small_side(wanted), "gram").filter(F.contains("word", F.col("term"))).select(
         "word", "term", count_in(F.col("word"), F.col("term")).alias("hits")))
     found = words.join(matches, "word")
     return found.groupBy("chunk_id", "term").agg(*[
@@ -181,21 +179,26 @@ def text_fields(*names: str) -> dict[str, Column]:
     return {name: every[name] for name in names}
 
 
-def _tfidf(df: Column, n: Column) -> Column:
+def _tf_weight() -> Column:
     tf = F.col("text") + 2 * F.col("kws") + 3 * F.col("head")
-    return (1.0 + F.log(tf.cast("double"))) * F.log(1.0 + n / (1.0 + df))
+    return (1.0 + F.log(tf.cast("double"))).alias("w")
+
+
+def _idf(df: Column, n: Column) -> Column:
+    return F.log(1.0 + n / (1.0 + df)).alias("idf")
 
 
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.ANCHORS) -> DataFrame:
     """Substring TF-IDF: text + 2 x keywords + 3 x heading, damped by text length."""
     terms = queries.select("q_id", F.explode(X.content_terms(F.col("query"))).alias("term"))
-    counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms)
+    # kept as a table: frequencies and scores both read it, and the texts are not counted again
+    counts = cut(substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", _tf_weight()))
+    n = max(1, chunks.count())
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
+    weighted = terms.join(df, "term").select("q_id", "term", _idf(F.col("df"), F.lit(n)))
     scores = (
-        counts.join(terms.join(df, "term"), "term")
-        .groupBy("q_id", "chunk_id")
-        .agg(F.sum(_tfidf(F.col("df"), n)).alias("raw"))
+        counts.join(small_side(weighted), "term").groupBy("q_id", "chunk_id")
+        .agg(F.sum(F.col("idf") * F.col("w")).alias("raw"))
     )
     sizes = chunks.select("chunk_id", F.length(X.text_or_empty(F.col("chunk_text"))).alias("len"))
     damped = scores.join(sizes, "chunk_id").select(
@@ -225,16 +228,17 @@ def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) ->
     vocabulary = terms.select("term").distinct()
     blob = F.concat_ws(" ", "section_heading", F.array_join("keywords", " "), "chunk_text")
     gate = chunks.select("project_id", "chunk_id", F.explode(X.token_set(blob)).alias("term")).join(
-        vocabulary, "term", "left_semi")
+        small_side(vocabulary), "term", "left_semi")
     df = gate.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     n = chunks.groupBy("project_id").agg(F.count("*").alias("n"))
     counts = substring_counts(chunks, text_fields("text", "kws", "head"), vocabulary)
-    hits = gate.join(counts, ["chunk_id", "term"])
-    weighted = terms.join(df, ["project_id", "term"]).join(n, "project_id")
+    hits = gate.join(counts, ["chunk_id", "term"]).select("project_id", "chunk_id", "term", _tf_weight())
+    weighted = terms.join(df, ["project_id", "term"]).join(n, "project_id").select(
+        "project_id", "section_id", "term", _idf(F.col("df"), F.col("n")))
     scores = (
         hits.join(weighted, ["project_id", "term"])
         .groupBy("project_id", "section_id", "chunk_id")
-        .agg(F.sum(_tfidf(F.col("df"), F.col("n"))).alias("raw"))
+        .agg(F.sum(F.col("idf") * F.col("w")).alias("raw"))
     )
     sizes = chunks.select("chunk_id", F.length("chunk_text").alias("len"))
     damped = scores.join(sizes, "chunk_id").select(
@@ -259,7 +263,7 @@ def token_overlap_score(terms: DataFrame, chunks: DataFrame, by: list[str]) -> D
     def hit(name: str) -> Column:
         return (F.col(name) > 0).cast("int")
 
-    return terms.join(counts, "term").groupBy(*by, "chunk_id").agg(
+    return counts.join(small_side(terms), "term").groupBy(*by, "chunk_id").agg(
         F.sum(3 * hit("head") + 2 * hit("kws") + hit("text")).alias("overlap"),
         F.sum(hit("head")).alias("head_hits"))
 
@@ -270,7 +274,7 @@ def overlap_search(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFra
     terms = asked.select("q_id", F.size("q").alias("q_size"), F.explode("q").alias("term"))
     blob = F.concat_ws(" ", "chunk_text", "section_heading", "doc_name")
     held = chunks.select("chunk_id", F.explode(X.token_set(blob)).alias("term"))
-    scores = held.join(terms, "term").groupBy("q_id", "chunk_id").agg(
+    scores = held.join(small_side(terms), "term").groupBy("q_id", "chunk_id").agg(
         (F.count("*") / F.sqrt(F.max("q_size"))).alias("score"))
     return top_k(scores, ["q_id"], best_first(), k)
 
