@@ -111,8 +111,11 @@ class Area:
     def has(self, pattern: str) -> Column:
         return has(self.body, pattern)
 
+    def tables(self) -> Column:
+        return F.col(f"tables_{self.name}")
+
     def has_table(self) -> Column:
-        return F.size(S.extract_tables(self.body)) > 0
+        return F.size(self.tables()) > 0
 
     def flag(self, when: Column, kind: str, severity: str = "high", evidence: Column | None = None,
              area: str | None = None, placed: bool = True) -> Column:
@@ -178,7 +181,7 @@ def check_scope(owner: Column) -> list:
     excl = Area("exclusions")
     flags.append(excl.flag(excl.filled & ~excl.has(C.NEGATIVE_SCOPE), "exclusions_not_explicit"))
     dep = Area("dependencies")
-    tables = S.extract_tables(dep.body)
+    tables = dep.tables()
     flags.append(dep.flag(dep.filled & (F.size(tables) == 0) & ~F.regexp_like(dep.body, owner), "dependency_owner_missing"))
 
     def of_table(t: Column) -> Column:
@@ -268,7 +271,7 @@ def check_governance(owner: Column, client: Column, supplier: str) -> list[Colum
 
 def check_risks(owner: Column) -> tuple[list[Column], list[Column]]:
     a = Area("risks")
-    tables = S.extract_tables(a.body)
+    tables = a.tables()
     flags = a.absent() + [a.flag(a.filled & (F.size(tables) == 0), "risk_table_missing")]
 
     def of_table(t: Column) -> Column:
@@ -311,7 +314,7 @@ def check_risks(owner: Column) -> tuple[list[Column], list[Column]]:
 
 def check_kpis() -> list[Column]:
     a = Area("kpis")
-    tables = S.extract_tables(a.body)
+    tables = a.tables()
     some = a.filled & (F.size(tables) > 0)
     heads = F.lower(F.array_join(F.flatten(F.transform(tables, lambda t: F.get(t, F.lit(0)))), " "))
     shown = F.left(heads, F.lit(120))
@@ -374,6 +377,8 @@ def check_vendor_compliance() -> list[Column]:
     ]
 
 
+TABLED = ("dependencies", "acceptance", "change", "risks", "kpis", "onboarding")  # areas whose tables are read
+
 FAMILIES = ("scope", "acceptance", "change", "commercials", "governance", "risks", "kpis", "onboarding",
             "assets", "term", "vendor_alignment", "vendor_compliance")
 
@@ -397,7 +402,8 @@ def run_checks(
     rows = rows.select(
         "project_id", "areas",
         party_pattern(C.OWNER_WORDS, supplier, F.col("client_name")).alias("owner"),
-        party_pattern(C.CLIENT_WORDS, None, F.col("client_name")).alias("client"))
+        party_pattern(C.CLIENT_WORDS, None, F.col("client_name")).alias("client"),
+        *[S.extract_tables(Area(name).body).alias(f"tables_{name}") for name in TABLED])
     owner, client = F.col("owner"), F.col("client")
     build = {
         "scope": lambda: check_scope(owner), "acceptance": check_acceptance, "change": check_change,
