@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media
+from . import exact_dedup, media, packing, pieces
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +37,19 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode(stored, keep_payload=False).drop("payload", "phash", "error")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.tokenised(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return packing.packed(found).drop("uid")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
+    "op7_packing": op7_packing,
+    "op9_pieces": op9_pieces,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
