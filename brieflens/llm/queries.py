@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, packing, pieces
+from . import exact_dedup, licenses, media, packing, pieces, secrets, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,11 +37,24 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode(stored, keep_payload=False).drop("payload", "phash", "error")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.tokenised(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return packing.packed(found).drop("uid")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -49,7 +62,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
+    "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_licenses": licenses.oracle()}
