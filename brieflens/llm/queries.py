@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, packing, pieces, secrets, toxicity
+from . import exact_dedup, licenses, media, packing, pieces, secrets, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +46,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+u AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+             min(page_id) OVER (PARTITION BY html) AS first_id FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM u
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.tokenised(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return packing.packed(found).drop("uid")
@@ -64,8 +80,9 @@ QUERIES: dict[str, Query] = {
     "op2_media": op2_media,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_licenses": licenses.oracle()}
