@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, packing, pieces, secrets, toxicity, warc
+from . import exact_dedup, licenses, media, packing, pieces, pii, secrets, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode(stored, keep_payload=False).drop("payload", "phash", "error")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
+    "op3_pii": op3_pii,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
