@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, packing, pieces, pii, secrets, toxicity, warc
+from . import exact_dedup, licenses, media, ngram_join, packing, pieces, pii, secrets, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -79,6 +79,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"), 4, ngram_join.Likeness(85, 100))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
@@ -89,5 +93,6 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_licenses": licenses.oracle()}

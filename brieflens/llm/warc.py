@@ -37,7 +37,7 @@ from .common import shared_dir, stored
 MIN_REVISIT = 100
 BLOCK = 1024
 RANGE_ROWS = 20_000
-SAMPLE = 8192
+MAX_RANGES, PER_RANGE = 4096, 16  # so at most about 65,536 keys are sampled
 CRLF = "\r\n"
 GAP = CRLF + CRLF
 EPOCH = "2024-01-01T00:00:00Z"
@@ -216,17 +216,19 @@ def sort_key(row: dict) -> tuple:
     return row["urlkey"], row["ts"], row["page_id"] is None, row["page_id"] or 0
 
 
-def bounds(index: DataFrame, ranges: int) -> list[tuple]:
-    """`ranges` - 1 keys that cut the index evenly, from the SAMPLE keys with the smallest hashes."""
-    keys = index.select(*KEY).orderBy(F.xxhash64(*KEY), *KEY).limit(SAMPLE).collect()
-    keys = sorted(sort_key(x.asDict()) for x in keys)
+def bounds(index: DataFrame, rows: int, ranges: int) -> list[tuple]:
+    """`ranges` - 1 keys that cut the index evenly, from a sample of about PER_RANGE keys a range, picked by their hashes."""
+    share = min(1.0, ranges * PER_RANGE / max(1, rows))
+    picked = F.pmod(F.xxhash64(*KEY), F.lit(1 << 30)) < int(share * (1 << 30))
+    keys = sorted(sort_key(x.asDict()) for x in index.select(*KEY).filter(picked).distinct().collect())
     return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
 
 
 def histories(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Index rows with `range_id` and `place`: ordered by (range_id, place), captures are in order of URL key, time, page."""
-    ranges = min(max(1, -(-index.count() // range_rows)), SAMPLE // 8)
-    edges = bounds(index, ranges)
+    count = index.count()
+    ranges = min(max(1, -(-count // range_rows)), MAX_RANGES)
+    edges = bounds(index, count, ranges)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's captures come sorted: cut them into blocks inside one range."""
