@@ -265,7 +265,13 @@ def bitmap(column: Column, rows: DataFrame) -> np.ndarray:
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little")
+    return words
+
+
+def occurs(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values have their bit set in a `bitmap`."""
+    slot = values % FILTER_BITS
+    return (words[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
 def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
@@ -284,7 +290,7 @@ def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.array([ids[k] for k in new], np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
             if there is not None:
-                use = there[keys % FILTER_BITS] == 1
+                use = occurs(there, keys)
                 keys, owner = keys[use], owner[use]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owner, pa.int64())], names=["key", "sid"])
 
@@ -300,11 +306,13 @@ def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> Data
         seen: set[int] = set()
         for batch in batches:
             out = []
+            if len(seen) > 1_000_000:
+                seen.clear()
             for text in batch.column(0):
                 grams = ngram_set(text.as_py() or "", n)
                 if len(grams):
                     sid = set_id(grams)
-                    if there[sid % FILTER_BITS] and sid not in seen:
+                    if sid not in seen and occurs(there, np.int64(sid)):
                         seen.add(sid)
                         out.append((sid, count_vector(grams), grams.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -406,8 +414,8 @@ def joined(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_c
 
 
 def survivors(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns."""
+    """The rows of `docs` whose id is the smallest of its component, with all their columns; rows without an id stay."""
     found = joined(docs, n, like, id_col, text_col)
     gone = free_name(docs.columns, "gone_id")
-    others = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(others, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    others = found.filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col(id_col) == F.col(gone), "left_anti")
