@@ -66,8 +66,8 @@ def unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
     out = data.copy()
     if (kinds <= 1).all():
         on = kinds == 1
-        part = data[on].reshape(int(on.sum()), -1, bpp)
-        out[on] = np.cumsum(part, axis=1, dtype=np.uint8).reshape(len(part), -1)
+        part = data[on].reshape(int(on.sum()), data.shape[1] // bpp, bpp)
+        out[on] = np.cumsum(part, axis=1, dtype=np.uint8).reshape(len(part), data.shape[1])
         return out
     up = np.zeros(data.shape[1], np.uint8)
     for i, kind in enumerate(kinds):
