@@ -16,9 +16,9 @@ OUTLINE_SQL = "outline AS (SELECT * FROM (VALUES " + ", ".join(
 
 CONTRACTS = f"""{OUTLINE_SQL}, sections AS (
   SELECT 'd' || doc_id AS project_id, ord::BIGINT AS ord, CASE WHEN doc_id % 5 = 0 THEN '2' || sid ELSE sid END AS section_id, title,
-    CASE WHEN (doc_id + ord) % 17 = 3 THEN '' ELSE array_to_string(list_concat([left(text, 60)],
+    CASE WHEN (doc_id + ord) % 17 = 3 THEN '' ELSE array_to_string(list_concat(list_filter(lines, lambda x, i: (i - 1) % {len(D.OUTLINE)} = ord),
       list_filter(list_transform(range(len(said)), lambda j: CASE WHEN (doc_id + j * 3) % 4 > 0 THEN said[j + 1] END), lambda s: s IS NOT NULL)), chr(10)) END AS content
-  FROM documents, outline WHERE (doc_id + ord) % 23 <> 5)"""
+  FROM (SELECT doc_id, string_split_regex(translate(text, '|', '/'), '\\. |\\n') AS lines FROM documents), outline WHERE (doc_id + ord) % 23 <> 5)"""
 
 
 def title_key(x: str) -> str:

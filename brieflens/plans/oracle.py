@@ -111,7 +111,7 @@ keyed AS (
 SECTIONS = """sections AS (
   SELECT 'p' || ((item_id // 5) % 10) AS project_id, item_id AS ord,
          CASE WHEN item_id % 5 = 0 THEN '' || (item_id // 5 + 1) ELSE (item_id // 5 + 1) || '.' || (item_id % 5) END AS section_id,
-         regexp_extract(text, '^(\\S+\\s+){0,5}\\S+') AS title FROM benchmark)"""
+         text AS title FROM benchmark)"""
 
 # fields of a chunk as lower-cased text, for substring counts; needs `keyed`
 FIELDS = """fields AS (
@@ -171,13 +171,13 @@ DRAFT_LINES = r"""raw_lines AS (
   SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\. |\n') AS parts FROM documents)),
 draft_lines AS (
   SELECT doc_id, i, x, CASE
-    WHEN i % 6 = 0 THEN '## ' || (i // 6 + 1) || ' ' || left(x, 40)
+    WHEN i % 6 = 0 THEN '## ' || (i // 6 + 1) || ' ' || x
     WHEN i % 6 = 1 THEN x
-    WHEN i % 6 = 2 THEN '| ' || left(x, 12) || ' | ' || doc_id || ' |'
+    WHEN i % 6 = 2 THEN '| ' || x || ' | ' || doc_id || ' |'
     WHEN i % 6 = 3 THEN '| --- | :--: |'
-    WHEN i % 6 = 4 THEN '|' || left(x, 10) || '|<information not available ' || (i // 6) || '>|'
-    WHEN i % 12 = 5 THEN '**' || left(x, 12) || '**'
-    ELSE (i // 6 + 1) || '.' || (i // 6) || '. ' || left(x, 30) END AS line FROM raw_lines)"""
+    WHEN i % 6 = 4 THEN '|' || x || '|<information not available ' || (i // 6) || '>|'
+    WHEN i % 12 = 5 THEN '**' || x || '**'
+    ELSE (i // 6 + 1) || '.' || (i // 6) || '. ' || x END AS line FROM raw_lines)"""
 
 
 def headingish(x: str) -> str:

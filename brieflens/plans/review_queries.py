@@ -159,20 +159,20 @@ def merge_verdicts(spark, d):
 def rubric_files(spark, d):
     def line(x, i):
         n = F.floor(i / 5)
-        return (F.when(i % 5 == 0, F.concat(F.lit("### "), (n + 1).cast("string"), F.lit(". "), F.upper(F.left(F.regexp_replace(x, "[^A-Za-z]+", "x"), F.lit(6))), F.lit(" ("),
+        return (F.when(i % 5 == 0, F.concat(F.lit("### "), (n + 1).cast("string"), F.lit(". "), F.upper(F.regexp_replace(x, "[^A-Za-z]+", "x")), F.lit(" ("),
                                             (F.lit(2) + F.col("doc_id") % 2).cast("string"), F.lit(" criteria, weight 0."), (n % 9 + 1).cast("string"),
                                             F.lit("0)"), F.when(n % 2 == 0, F.lit(" - category may be N/A")).otherwise("")))
                 .when(i % 5 == 2, "|---|---|---|---|---|")
                 .when(i % 5 == 4, F.regexp_replace(x, r"[|#]", " "))
-                .otherwise(F.concat(F.lit("| "), F.floor(i % 5 / 2 + 1).cast("string"), F.lit(" | "), F.left(F.regexp_replace(x, "[^A-Za-z]+", "x"), F.lit(8)), F.lit(" | b | c | d |"))))
+                .otherwise(F.concat(F.lit("| "), F.floor(i % 5 / 2 + 1).cast("string"), F.lit(" | "), F.regexp_replace(x, "[^A-Za-z]+", "x"), F.lit(" | b | c | d |"))))
 
     text = F.array_join(F.transform(F.split("text", T.SENTENCE_BREAK), line), "\n")
     return T.load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), text.alias("text"))
 
 
 RUBRIC_LINES = f"""{O.DRAFT_LINES}, sizes AS (SELECT doc_id, count(*) AS n FROM raw_lines GROUP BY doc_id),
-heads AS (SELECT doc_id, i // 5 + 1 AS category_no, upper(left(regexp_replace(x, '[^A-Za-z]+', 'x', 'g'), 6)) AS category, (i // 5) % 9 + 1 AS w, i FROM raw_lines WHERE i % 5 = 0 AND length(x) > 0),
-body AS (SELECT doc_id, i // 5 + 1 AS category_no, (i % 5) // 2 + 1 AS number, left(regexp_replace(x, '[^A-Za-z]+', 'x', 'g'), 8) AS name FROM raw_lines WHERE i % 5 IN (1, 3))"""
+heads AS (SELECT doc_id, i // 5 + 1 AS category_no, upper(regexp_replace(x, '[^A-Za-z]+', 'x', 'g')) AS category, (i // 5) % 9 + 1 AS w, i FROM raw_lines WHERE i % 5 = 0 AND length(x) > 0),
+body AS (SELECT doc_id, i // 5 + 1 AS category_no, (i % 5) // 2 + 1 AS number, regexp_replace(x, '[^A-Za-z]+', 'x', 'g') AS name FROM raw_lines WHERE i % 5 IN (1, 3))"""
 
 
 @register("parse_rubric", f"""
@@ -297,7 +297,7 @@ def seq_ratio_query(spark, d):
 
 # ---------------------------------------------------------------- draft quality
 
-QUALITY = f"""{CONTRACTS}, texts AS (SELECT project_id, section_id, CASE ord % 7 WHEN 1 THEN content || ' [TBD: owner] [date]' WHEN 2 THEN content || ' for Client Name <IMAGE id="a1"/>' WHEN 3 THEN left(content, 50) ELSE content END AS content FROM sections WHERE ord % 9 <> 4),
+QUALITY = f"""{CONTRACTS}, texts AS (SELECT project_id, section_id, CASE ord % 7 WHEN 1 THEN content || ' [TBD: owner] [date]' WHEN 2 THEN content || ' for Client Name <IMAGE id="a1"/>' ELSE content END AS content FROM sections WHERE ord % 9 <> 4),
 j AS (SELECT s.project_id, s.section_id, {O.strip("coalesce(t.content, '')")} AS text FROM sections s LEFT JOIN texts t USING (project_id, section_id)),
 findings AS (SELECT project_id, section_id, 'no_content' AS kind, 'error' AS severity, '' AS detail FROM j WHERE text = ''
   UNION ALL SELECT project_id, section_id, 'short', 'warning', '' || length(text) FROM j WHERE text <> '' AND length(text) < 80
@@ -312,7 +312,7 @@ def quality_inputs(spark, d):
     texts = sections.filter(F.col("ord") % 9 != 4).select(
         "project_id", "section_id",
         F.when(n == 1, F.concat(c, F.lit(" [TBD: owner] [date]"))).when(n == 2, F.concat(c, F.lit(' for Client Name <IMAGE id="a1"/>')))
-        .when(n == 3, F.left(c, F.lit(50))).otherwise(c).alias("content"))
+        .otherwise(c).alias("content"))
     return sections, texts
 
 

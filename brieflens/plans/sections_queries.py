@@ -110,9 +110,9 @@ def prior_context(spark, d):
 @register("story_text", f"""
 WITH {BASE}, t AS (SELECT s.project_id, string_agg('## Section ' || s.section_id || ': ' || s.title || chr(10) || {O.strip('a.content')}, chr(10) || chr(10)
    ORDER BY CAST(split_part(s.section_id, '.', 1) AS INT), coalesce(try_cast(split_part(s.section_id, '.', 2) AS INT), -1)) AS text FROM secs s JOIN approved a USING (project_id, section_id) WHERE {O.strip('a.content')} <> '' GROUP BY s.project_id)
-SELECT project_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END AS text FROM t""")
+SELECT project_id, CASE WHEN length(text) > 20000 THEN left(text, 20000) || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END AS text FROM t""")
 def story_text(spark, d):
-    return S.story_text(secs(spark, d), approved(spark, d), 2000)
+    return S.story_text(secs(spark, d), approved(spark, d), 20000)
 
 
 @register("join_titles", f"""
@@ -163,7 +163,7 @@ def import_lines(spark, d):
     n, o = F.substring("project_id", 2, 12).cast("long"), F.col("ord")
     bare = F.regexp_replace("title", r"^[0-9.]+\s+", "")
     text = (F.when(o % 5 == 0, F.col("title")).when(o % 5 == 1, F.concat(F.lit("99 "), bare))
-            .when(o % 5 == 2, F.concat(F.lit("1 "), bare)).when(o % 5 == 3, bare).otherwise(F.left("content", F.lit(60))))
+            .when(o % 5 == 2, F.concat(F.lit("1 "), bare)).when(o % 5 == 3, bare).otherwise(F.col("content")))
     return D.contracts(spark, d).select("project_id", o.alias("line_no"), F.when(n % 2 == 0, "Heading 2").otherwise("Normal").alias("style"), text.alias("text"))
 
 

@@ -34,13 +34,13 @@ def detect_heading(spark, d):
     return rows.filter("h is not null").select("doc_id", "i", "h.kind", "h.id", "h.title")
 
 
-@register("headingish", f"WITH {O.DRAFT_LINES} SELECT doc_id, i, {O.headingish('left(x, 60)')} AS headingish FROM draft_lines")
+@register("headingish", f"WITH {O.DRAFT_LINES} SELECT doc_id, i, {O.headingish('x')} AS headingish FROM draft_lines")
 def headingish(spark, d):
     rows = T.load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", T.SENTENCE_BREAK)).alias("i", "x"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("i"), S.headingish(F.left("x", F.lit(60))).alias("headingish"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), S.headingish(F.col("x")).alias("headingish"))
 
 
-TOC_LINE_SQL = "CASE i % 4 WHEN 0 THEN left(x, 30) || ' .... ' || i WHEN 1 THEN (i % 9) || '.1' || chr(9) || left(x, 20) || chr(9) || ' ' || i || ' ' || chr(9) || i WHEN 2 THEN ' Contents ' ELSE x END"
+TOC_LINE_SQL = "CASE i % 4 WHEN 0 THEN x || ' .... ' || i WHEN 1 THEN (i % 9) || '.1' || chr(9) || x || chr(9) || ' ' || i || ' ' || chr(9) || i WHEN 2 THEN ' Contents ' ELSE x END"
 
 
 def toc_lines(spark, d):
@@ -48,8 +48,8 @@ def toc_lines(spark, d):
     i = F.col("i")
     n = i.cast("string")
     line = (
-        F.when(i % 4 == 0, F.concat(F.left("x", F.lit(30)), F.lit(" .... "), n))
-        .when(i % 4 == 1, F.concat((i % 9).cast("string"), F.lit(".1\t"), F.left("x", F.lit(20)), F.lit("\t "), n, F.lit(" \t"), n))
+        F.when(i % 4 == 0, F.concat(F.col("x"), F.lit(" .... "), n))
+        .when(i % 4 == 1, F.concat((i % 9).cast("string"), F.lit(".1\t"), F.col("x"), F.lit("\t "), n, F.lit(" \t"), n))
         .when(i % 4 == 2, " Contents ").otherwise(F.col("x")))
     return rows.select("doc_id", i.cast("long").alias("i"), line.alias("line"))
 
@@ -159,25 +159,25 @@ def page_chunks(spark, d):
 
 
 @register("assign_section_ids", f"""
-WITH {O.DRAFT_LINES}, e AS (SELECT doc_id, i, {O.strip('left(x, 20)')} AS title, CAST(i % 3 + 1 AS INT) AS level FROM raw_lines WHERE NOT regexp_matches({O.strip('left(x, 20)')}, '^\\s*(\\d+(\\.\\d+)*)\\.?[\\s -–:]+(.+?)\\s*$')),
+WITH {O.DRAFT_LINES}, e AS (SELECT doc_id, i, {O.strip('x')} AS title, CAST(i % 3 + 1 AS INT) AS level FROM raw_lines WHERE NOT regexp_matches({O.strip('x')}, '^\\s*(\\d+(\\.\\d+)*)\\.?[\\s -–:]+(.+?)\\s*$')),
 w AS (SELECT *, i // 3 + 1 AS a FROM e)
 SELECT doc_id, i, CASE level WHEN 1 THEN '' || a WHEN 2 THEN a || '.1' ELSE a || '.1.1' END AS section_id, title, level FROM w
-WHERE doc_id NOT IN (SELECT doc_id FROM raw_lines WHERE regexp_matches({O.strip('left(x, 20)')}, '^\\d'))""")
+WHERE doc_id NOT IN (SELECT doc_id FROM raw_lines WHERE regexp_matches({O.strip('x')}, '^\\d'))""")
 def assign_section_ids(spark, d):
     """Contents entries cycle through levels 1, 2, 3; documents with numbers of their own are in the fixture tests."""
     parts = F.split("text", T.SENTENCE_BREAK)
-    entries = F.transform(parts, lambda x, i: F.struct(F.left(x, F.lit(20)).alias("title"), (i % 3 + 1).alias("level")))
-    plain = ~F.exists(parts, lambda x: X.strip(F.left(x, F.lit(20))).rlike("^[0-9]"))
+    entries = F.transform(parts, lambda x, i: F.struct(x.alias("title"), (i % 3 + 1).alias("level")))
+    plain = ~F.exists(parts, lambda x: X.strip(x).rlike("^[0-9]"))
     rows = T.load(spark, d, "documents").filter(plain).select("doc_id", F.posexplode(S.assign_section_ids(entries)).alias("i", "s"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.col("s.id").alias("section_id"), "s.title", "s.level")
 
 
 @register("drop_meta_sections", f"""
-WITH {O.DRAFT_LINES} SELECT doc_id, i, CASE i % 7 WHEN 0 THEN ' Table of Contents' WHEN 3 THEN 'TOC' ELSE left(x, 20) END AS title FROM raw_lines
-WHERE i % 7 NOT IN (0, 3) AND lower({O.strip('left(x, 20)')}) NOT IN ('table of contents', 'toc')""")
+WITH {O.DRAFT_LINES} SELECT doc_id, i, CASE i % 7 WHEN 0 THEN ' Table of Contents' WHEN 3 THEN 'TOC' ELSE x END AS title FROM raw_lines
+WHERE i % 7 NOT IN (0, 3) AND lower({O.strip('x')}) NOT IN ('table of contents', 'toc')""")
 def drop_meta_sections(spark, d):
     rows = T.load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", T.SENTENCE_BREAK)).alias("i", "x"))
-    title = F.when(F.col("i") % 7 == 0, " Table of Contents").when(F.col("i") % 7 == 3, "TOC").otherwise(F.left("x", F.lit(20)))
+    title = F.when(F.col("i") % 7 == 0, " Table of Contents").when(F.col("i") % 7 == 3, "TOC").otherwise(F.col("x"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), title.alias("title")).filter(~S.is_meta_title(F.col("title")))
 
 
@@ -225,16 +225,16 @@ def split_adjacent_tables(spark, d):
 # ---------------------------------------------------------------- clean-up of drafted text
 
 HTML_LINES = f"""html_lines AS (SELECT doc_id, i, x, CASE i % 5
-  WHEN 0 THEN '<h2 class="a">' || left(x, 20) || '</h2>' WHEN 1 THEN '<p>' || x || '</p>' WHEN 2 THEN '<ul><li> ' || left(x, 15) || '</li></ul>'
-  WHEN 3 THEN '<TABLE><tr><th> <b>' || left(x, 8) || '</b></th><th>b</th></tr><tr><td>' || i || '</td></tr></table>'
-  ELSE '<IMAGE id="' || i || '"/> &lt;' || left(x, 10) || '&gt; &amp;' END AS line FROM raw_lines)"""
+  WHEN 0 THEN '<h2 class="a">' || x || '</h2>' WHEN 1 THEN '<p>' || x || '</p>' WHEN 2 THEN '<ul><li> ' || x || '</li></ul>'
+  WHEN 3 THEN '<TABLE><tr><th> <b>' || x || '</b></th><th>b</th></tr><tr><td>' || i || '</td></tr></table>'
+  ELSE '<IMAGE id="' || i || '"/> &lt;' || x || '&gt; &amp;' END AS line FROM raw_lines)"""
 
 
 @register("strip_html", f"""
 WITH {O.DRAFT_LINES}, {HTML_LINES}, done AS (SELECT doc_id, i, CASE i % 5
-  WHEN 0 THEN CASE WHEN {O.strip('left(x, 20)')} = '' THEN '' ELSE '**' || {O.strip('left(x, 20)')} || '**' END
-  WHEN 1 THEN x || chr(10) WHEN 2 THEN '- ' || {O.strip('left(x, 15)')} || chr(10) WHEN 3 THEN line
-  ELSE '<IMAGE id="' || i || '"/> <' || left(x, 10) || '> &' END AS line FROM html_lines)
+  WHEN 0 THEN CASE WHEN {O.strip('x')} = '' THEN '' ELSE '**' || {O.strip('x')} || '**' END
+  WHEN 1 THEN x || chr(10) WHEN 2 THEN '- ' || {O.strip('x')} || chr(10) WHEN 3 THEN line
+  ELSE '<IMAGE id="' || i || '"/> <' || x || '> &' END AS line FROM html_lines)
 SELECT doc_id, {O.strip(O.rx("string_agg(line, chr(10) ORDER BY i)", "\\n{3,}", "\n\n"))} AS text FROM done GROUP BY doc_id""")
 def strip_html(spark, d):
     return T.html_drafts(spark, d).select("doc_id", M.strip_html(F.col("html")).alias("text"))
@@ -242,7 +242,7 @@ def strip_html(spark, d):
 
 @register("html_tables_to_markdown", f"""
 WITH {O.DRAFT_LINES}, {HTML_LINES}
-SELECT doc_id, string_agg(CASE WHEN i % 5 = 3 THEN chr(10) || '| ' || {O.strip('left(x, 8)')} || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' |  |' || chr(10) ELSE line END, chr(10) ORDER BY i) AS text
+SELECT doc_id, string_agg(CASE WHEN i % 5 = 3 THEN chr(10) || '| ' || {O.strip('x')} || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' |  |' || chr(10) ELSE line END, chr(10) ORDER BY i) AS text
 FROM html_lines GROUP BY doc_id""")
 def html_tables_to_markdown(spark, d):
     return T.html_drafts(spark, d).select("doc_id", M.html_tables_to_markdown(F.col("html")).alias("text"))
@@ -250,7 +250,7 @@ def html_tables_to_markdown(spark, d):
 
 @register("html_to_text")
 def html_to_text(spark, d):
-    return T.load(spark, d, "pages").select("page_id", M.html_to_text(F.col("html"), 2000).alias("text"))
+    return T.load(spark, d, "pages").select("page_id", M.html_to_text(F.col("html"), 12000).alias("text"))
 
 
 KEPT_LINES = "coalesce(string_agg(line, chr(10) ORDER BY i), '')"

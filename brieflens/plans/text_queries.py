@@ -87,13 +87,13 @@ def title_key_sql(x, prefix):
     return f"lower({O.collapse(O.rx(x, '[^\\p{L}\\p{N}_\\s]', ' '))})"
 
 
-TITLE_SQL = "(['Section ', 'Clause ', '', 'Appendix b - ', 'IV) '])[doc_id % 5 + 1] || (doc_id % 30) || '.2 ' || left(text, 60) || ' & More'"
+TITLE_SQL = "(['Section ', 'Clause ', '', 'Appendix b - ', 'IV) '])[doc_id % 5 + 1] || (doc_id % 30) || '.2 ' || text || ' & More'"
 
 
 def titled(spark, d):
     n = F.col("doc_id")
     title = F.concat(T.pick(n % 5, ["Section ", "Clause ", "", "Appendix b - ", "IV) "]), (n % 30).cast("string"),
-                     F.lit(".2 "), F.left("text", F.lit(60)), F.lit(" & More"))
+                     F.lit(".2 "), F.col("text"), F.lit(" & More"))
     return T.load(spark, d, "documents").select("doc_id", title.alias("title"))
 
 
@@ -146,11 +146,11 @@ def section_sort_key(spark, d):
 @register("is_empty_value", """
 SELECT doc_id, v IS NULL OR lower(trim(v)) IN ('', 'null', 'none', 'n/a', 'na', 'tbd', 'not specified', 'not stated', 'unknown', 'not provided') AS empty_text,
        n_tags = 0 AS empty_list
-FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' TBD ' WHEN 2 THEN 'N/A' WHEN 3 THEN lang ELSE left(text, 5) END AS v,
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' TBD ' WHEN 2 THEN 'N/A' WHEN 3 THEN lang ELSE text END AS v,
              length(regexp_replace(text, '[^|]', '', 'g')) AS n_tags FROM documents)""")
 def is_empty_value(spark, d):
     n = F.col("doc_id") % 6
-    value = F.when(n == 1, " TBD ").when(n == 2, "N/A").when(n == 3, F.col("lang")).when(n > 3, F.left("text", F.lit(5)))
+    value = F.when(n == 1, " TBD ").when(n == 2, "N/A").when(n == 3, F.col("lang")).when(n > 3, F.col("text"))
     tags = F.regexp_extract_all("text", F.lit(r"\|"), F.lit(0))
     return T.load(spark, d, "documents").select(
         "doc_id", X.is_empty_text(value).alias("empty_text"), X.is_empty_list(tags).alias("empty_list"))
@@ -161,13 +161,13 @@ SELECT doc_id, CASE WHEN trim(cap) <> '' AND lower(trim(cap)) <> lower(id) AND N
   WHEN head <> '' AND lower(head) NOT IN ('note','tip','important','unknown') THEN head
   WHEN page <> 0 THEN 'Figure (p.' || page || ')' ELSE 'Figure' END AS caption
 FROM (SELECT doc_id, left(sha256(text), 12) AS id, doc_id % 7 AS page,
-  CASE doc_id % 5 WHEN 0 THEN left(sha256(text), 12) WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN 'deadbeef' ELSE ' ' || left(text, 40) END AS cap,
+  CASE doc_id % 5 WHEN 0 THEN left(sha256(text), 12) WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN 'deadbeef' ELSE ' ' || text END AS cap,
   CASE doc_id % 4 WHEN 0 THEN 'Note' WHEN 1 THEN '' ELSE source END AS head FROM documents)""")
 def image_caption(spark, d):
     n = F.col("doc_id")
     image_id = F.left(F.sha2("text", 256), F.lit(12))
     cap = (F.when(n % 5 == 0, image_id).when(n % 5 == 1, " ").when(n % 5 == 3, "deadbeef")
-           .when(n % 5 == 4, F.concat(F.lit(" "), F.left("text", F.lit(40)))))
+           .when(n % 5 == 4, F.concat(F.lit(" "), "text")))
     head = F.when(n % 4 == 0, "Note:").when(n % 4 == 1, "").otherwise(F.concat("source", F.lit(":")))
     return T.load(spark, d, "documents").select("doc_id", X.image_caption(cap, image_id, head, n % 7).alias("caption"))
 

@@ -1,7 +1,9 @@
 """Contract drafts made from documents: one contract per document.
 
-A contract lists the usual sections; each holds the opening of the document and
-those of its standard statements the document id selects.  Sections and
+A contract lists the usual sections; the lines of the document are dealt out
+over them in turn, so its whole text is there once (bars as slashes: the standard statements
+bring the tables), and each section adds those
+of its standard statements the document id selects.  Sections and
 statements go missing by id, so every content rule meets both cases.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import load
+from .tables import SENTENCE_BREAK, load
 
 # (section id, title, statements)
 OUTLINE = [
@@ -57,10 +59,11 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.array(*[F.lit(s) for s in said]).alias("said"))
         for i, (sid, title, said) in enumerate(OUTLINE)
     ])
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("opening"), F.explode(outline).alias("s"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.split(F.translate("text", "|", "/"), SENTENCE_BREAK).alias("lines"), F.explode(outline).alias("s"))
     kept = rows.filter((n + F.col("s.ord")) % 23 != 5)
     said = F.filter(F.col("s.said"), lambda x, j: (n + j * 3) % 4 > 0)
-    content = F.when((n + F.col("s.ord")) % 17 == 3, "").otherwise(F.concat_ws("\n", F.array(F.col("opening")), said))
+    own = F.filter("lines", lambda x, j: j % len(OUTLINE) == F.col("s.ord"))
+    content = F.when((n + F.col("s.ord")) % 17 == 3, "").otherwise(F.concat_ws("\n", own, said))
     return kept.select(
         F.concat(F.lit("d"), n.cast("string")).alias("project_id"), F.col("s.ord").alias("ord"),
         F.when(n % 5 == 0, F.concat(F.lit("2"), "s.section_id")).otherwise(F.col("s.section_id")).alias("section_id"),

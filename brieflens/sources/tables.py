@@ -89,7 +89,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("p"), F.expr("item_id div 5 % 10").cast("string")).alias("project_id"),
         item.alias("ord"), sid.alias("section_id"),
-        F.regexp_extract("text", r"^(\S+\s+){0,5}\S+", 0).alias("title"))
+        F.col("text").alias("title"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +123,13 @@ def draft_text(text, doc_id):
         n = F.floor(i / 6).cast("string")
         up = (F.floor(i / 6) + 1).cast("string")
         return (
-            F.when(i % 6 == 0, F.concat(F.lit("## "), up, F.lit(" "), F.left(x, F.lit(40))))
+            F.when(i % 6 == 0, F.concat(F.lit("## "), up, F.lit(" "), x))
             .when(i % 6 == 1, x)
-            .when(i % 6 == 2, F.concat(F.lit("| "), F.left(x, F.lit(12)), F.lit(" | "), doc_id.cast("string"), F.lit(" |")))
+            .when(i % 6 == 2, F.concat(F.lit("| "), x, F.lit(" | "), doc_id.cast("string"), F.lit(" |")))
             .when(i % 6 == 3, F.lit("| --- | :--: |"))
-            .when(i % 6 == 4, F.concat(F.lit("|"), F.left(x, F.lit(10)), F.lit("|<information not available "), n, F.lit(">|")))
-            .when(i % 12 == 5, F.concat(F.lit("**"), F.left(x, F.lit(12)), F.lit("**")))
-            .otherwise(F.concat(up, F.lit("."), n, F.lit(". "), F.left(x, F.lit(30))))
+            .when(i % 6 == 4, F.concat(F.lit("|"), x, F.lit("|<information not available "), n, F.lit(">|")))
+            .when(i % 12 == 5, F.concat(F.lit("**"), x, F.lit("**")))
+            .otherwise(F.concat(up, F.lit("."), n, F.lit(". "), x))
         )
 
     return F.array_join(F.transform(F.split(text, SENTENCE_BREAK), line), "\n")
@@ -144,12 +144,12 @@ def html_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as HTML: headings, paragraphs, lists, tables, images, entities."""
     def line(x, i):
         return (
-            F.when(i % 5 == 0, F.concat(F.lit('<h2 class="a">'), F.left(x, F.lit(20)), F.lit("</h2>")))
+            F.when(i % 5 == 0, F.concat(F.lit('<h2 class="a">'), x, F.lit("</h2>")))
             .when(i % 5 == 1, F.concat(F.lit("<p>"), x, F.lit("</p>")))
-            .when(i % 5 == 2, F.concat(F.lit("<ul><li> "), F.left(x, F.lit(15)), F.lit("</li></ul>")))
-            .when(i % 5 == 3, F.concat(F.lit("<TABLE><tr><th> <b>"), F.left(x, F.lit(8)), F.lit("</b></th><th>b</th></tr><tr><td>"),
+            .when(i % 5 == 2, F.concat(F.lit("<ul><li> "), x, F.lit("</li></ul>")))
+            .when(i % 5 == 3, F.concat(F.lit("<TABLE><tr><th> <b>"), x, F.lit("</b></th><th>b</th></tr><tr><td>"),
                                        i.cast("string"), F.lit("</td></tr></table>")))
-            .otherwise(F.concat(F.lit('<IMAGE id="'), i.cast("string"), F.lit('"/> &lt;'), F.left(x, F.lit(10)), F.lit("&gt; &amp;")))
+            .otherwise(F.concat(F.lit('<IMAGE id="'), i.cast("string"), F.lit('"/> &lt;'), x, F.lit("&gt; &amp;")))
         )
 
     text = F.array_join(F.transform(F.split("text", SENTENCE_BREAK), line), "\n")
@@ -218,7 +218,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     file_no = F.expr("doc_id div 20")
     caption = F.when(n % 5 == 3, F.left(F.sha2("text", 256), F.lit(12))).otherwise(
-        F.concat(pick(n % 5, CAPTION_HEADS), F.regexp_extract("text", r"^(\S+\s+){0,4}\S+", 0)))
+        F.concat(pick(n % 5, CAPTION_HEADS), "text"))
     keywords = F.when(n % 9 == 4, F.array().cast("array<string>")).otherwise(F.slice(K.keywords_tf(F.col("text")), 1, 5))
     return load(spark, sf_dir, "documents").select(
         n.alias("row_id"), F.when(n % 50 == 49, "").otherwise(F.left(F.sha2("text", 256), F.lit(12))).alias("image_id"),
@@ -226,7 +226,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif(n % 7, F.lit(0)).alias("page_number"), caption.alias("caption"), keywords.alias("keywords"),
         pick(n % 8, DIAGRAM_TYPES).alias("diagram_type"), pick(n % 4, ["unknown", "4 Demand", "6", ""]).alias("section_hint"),
         F.when(n % 6 == 0, "3.2 Sites").when(n % 6 == 1, "unknown").otherwise(F.regexp_extract("text", r"^([^\s.,|]+)", 1)).alias("section_heading"),
-        F.left("text", F.lit(120)).alias("description"), pick(n % 3, ["", "4", "6"]).alias("brd_section_id"),
+        F.col("text").alias("description"), pick(n % 3, ["", "4", "6"]).alias("brd_section_id"),
         F.array(F.col("lang"), F.concat(F.lit("Tag"), (n % 10).cast("string"))).alias("tags"),
         F.when(n % 11 == 0, "slide").otherwise("picture").alias("render_kind"),
         F.concat(F.lit("lib"), (n % 3).cast("string")).alias("image_repo_id"))
