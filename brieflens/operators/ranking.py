@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.arrays import count_in, let, term_counts
-from .lineage import cut, small_side
 from .numbering import top_k
 
-ALL_CHUNKS = ""  # pseudo term carried by every chunk: its count is N, its length sum the corpus length
-
 
 def best_first(score: str = "score", tie: str = "chunk_id") -> list[Column]:
     """Score descending; equal to nine places counts as a tie, broken by id."""
@@ -43,10 +40,9 @@ def postings(chunks: DataFrame, heading: str = "section_heading", body: str = "c
         X.tokens(F.col(heading)).alias("head"),
         X.tokens(F.col(body)).alias("words"),
     )
-    every = F.array(F.struct(F.lit(ALL_CHUNKS).alias("term"), F.lit(0).alias("n"), F.lit(0).alias("first")))
     rows = counted.select(
         "chunk_id", "prior", "head", (F.size("head") + F.size("words")).alias("dl"),
-        F.explode(F.concat(term_counts(F.concat("head", "words")), every)).alias("t"),
+        F.explode(term_counts(F.concat("head", "words"))).alias("t"),
     )
     in_head = F.size(F.filter("head", lambda w: w == F.col("t.term")))
     return rows.select(
@@ -55,25 +51,31 @@ def postings(chunks: DataFrame, heading: str = "section_heading", body: str = "c
 
 
 def term_statistics(post: DataFrame) -> DataFrame:
-    """term, df, total_dl.  Row `ALL_CHUNKS` has N as df and the corpus length."""
+    """term, df, total_dl."""
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total_dl"))
 
 
+def chunk_totals(chunks: DataFrame, heading: str = "section_heading", body: str = "chunk_text") -> DataFrame:
+    """One row: n chunks and their average length in tokens."""
+    length = F.size(X.tokens(F.col(heading))) + F.size(X.tokens(F.col(body)))
+    return chunks.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("q_id", F.explode(X.expand_terms(F.col("query"))).alias("term"))
 
 
-def bm25_scores(terms: DataFrame, post: DataFrame) -> DataFrame:
-    """q_id, chunk_id, score for every pair that shares a term."""
+def bm25_scores(terms: DataFrame, post: DataFrame, totals: DataFrame) -> DataFrame:
+    """q_id, chunk_id, score for every pair that shares a term.
+
+    `totals` is the one row of `chunk_totals`; it enters as scalar subqueries.
+    """
     vocabulary = terms.select("term").distinct()
-    every = vocabulary.limit(1).select(F.lit(ALL_CHUNKS).alias("term"))
-    # one row per query term, read three times below: one pass over the corpus, not three
-    stats = cut(term_statistics(post.join(small_side(vocabulary.unionByName(every)), "term", "left_semi")))
-    totals = stats.filter(F.col("term") == ALL_CHUNKS).first()  # one row
-    n, avgdl = (totals["df"], totals["total_dl"] / totals["df"]) if totals else (0, 0.0)
-    weighted = terms.join(stats.filter(F.col("term") != ALL_CHUNKS), "term").select(
+    stats = term_statistics(post.join(vocabulary, "term", "left_semi"))
+    n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
+    weighted = terms.join(stats, "term").select(
         "q_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.lit(float(avgdl))) if avgdl else F.lit(1.0)
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / avgdl)
 
     def saturated(tf: str) -> Column:
         return F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)
@@ -81,7 +83,7 @@ def bm25_scores(terms: DataFrame, post: DataFrame) -> DataFrame:
     # everything but the idf depends on the posting alone, so it is computed before the join multiplies rows
     weight = F.col("prior") * (fixed.HEADING_WEIGHT * saturated("tf_h") + fixed.BODY_WEIGHT * saturated("tf_b"))
     return (
-        post.select("chunk_id", "term", weight.alias("w")).join(small_side(weighted), "term")
+        post.select("chunk_id", "term", weight.alias("w")).join(weighted, "term")
         .groupBy("q_id", "chunk_id")
         .agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
         .filter(F.col("score") > 0)
@@ -98,7 +100,7 @@ def bm25_search(
     chunks tagged to another section than the query's `section_id`; neither
     changes the statistics, which always cover all chunks.
     """
-    scores = bm25_scores(query_terms(queries), postings(chunks))
+    scores = bm25_scores(query_terms(queries), postings(chunks), chunk_totals(chunks))
     if docs is not None:
         allowed = chunks.select("chunk_id", F.lower("doc_name").alias("_d")).join(
             docs.select(F.lower("doc_name").alias("_d")).distinct(), "_d", "left_semi")
@@ -159,8 +161,8 @@ def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFr
         _words(c) for c in fields.values()]))).alias("word")).distinct()
     keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
-    matches = small_side(keyed.join(small_side(wanted), "gram").filter(F.contains("word", F.col("term"))).select(
-        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits")))
+    matches = keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(
+        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
     found = words.join(matches, "word")
     return found.groupBy("chunk_id", "term").agg(*[
         F.sum(F.when(F.col("field") == name, F.col("n") * F.col("hits")).otherwise(0)).alias(name)
@@ -191,13 +193,12 @@ def _idf(df: Column, n: Column) -> Column:
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.ANCHORS) -> DataFrame:
     """Substring TF-IDF: text + 2 x keywords + 3 x heading, damped by text length."""
     terms = queries.select("q_id", F.explode(X.content_terms(F.col("query"))).alias("term"))
-    # kept as a table: frequencies and scores both read it, and the texts are not counted again
-    counts = cut(substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", _tf_weight()))
-    n = max(1, chunks.count())
+    counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", _tf_weight())
+    n = chunks.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").select("q_id", "term", _idf(F.col("df"), F.lit(n)))
+    weighted = terms.join(df, "term").select("q_id", "term", _idf(F.col("df"), n))
     scores = (
-        counts.join(small_side(weighted), "term").groupBy("q_id", "chunk_id")
+        counts.join(weighted, "term").groupBy("q_id", "chunk_id")
         .agg(F.sum(F.col("idf") * F.col("w")).alias("raw"))
     )
     sizes = chunks.select("chunk_id", F.length(X.text_or_empty(F.col("chunk_text"))).alias("len"))
@@ -228,7 +229,7 @@ def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) ->
     vocabulary = terms.select("term").distinct()
     blob = F.concat_ws(" ", "section_heading", F.array_join("keywords", " "), "chunk_text")
     gate = chunks.select("project_id", "chunk_id", F.explode(X.token_set(blob)).alias("term")).join(
-        small_side(vocabulary), "term", "left_semi")
+        vocabulary, "term", "left_semi")
     df = gate.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     n = chunks.groupBy("project_id").agg(F.count("*").alias("n"))
     counts = substring_counts(chunks, text_fields("text", "kws", "head"), vocabulary)
@@ -263,7 +264,7 @@ def token_overlap_score(terms: DataFrame, chunks: DataFrame, by: list[str]) -> D
     def hit(name: str) -> Column:
         return (F.col(name) > 0).cast("int")
 
-    return counts.join(small_side(terms), "term").groupBy(*by, "chunk_id").agg(
+    return counts.join(terms, "term").groupBy(*by, "chunk_id").agg(
         F.sum(3 * hit("head") + 2 * hit("kws") + hit("text")).alias("overlap"),
         F.sum(hit("head")).alias("head_hits"))
 
@@ -274,7 +275,7 @@ def overlap_search(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFra
     terms = asked.select("q_id", F.size("q").alias("q_size"), F.explode("q").alias("term"))
     blob = F.concat_ws(" ", "chunk_text", "section_heading", "doc_name")
     held = chunks.select("chunk_id", F.explode(X.token_set(blob)).alias("term"))
-    scores = held.join(small_side(terms), "term").groupBy("q_id", "chunk_id").agg(
+    scores = held.join(terms, "term").groupBy("q_id", "chunk_id").agg(
         (F.count("*") / F.sqrt(F.max("q_size"))).alias("score"))
     return top_k(scores, ["q_id"], best_first(), k)
 

@@ -99,7 +99,7 @@ def section_images(spark, d):
 
 @register("classify_image_section", f"""
 WITH {IMAGES} SELECT row_id, CASE WHEN regexp_matches(section_heading, '^[1-6]') THEN left(section_heading, 1) WHEN regexp_matches(section_hint, '^[1-6]') THEN left(section_hint, 1)
-  ELSE {O.classify("lower(concat_ws(' ', section_heading, caption, keywords, description))", fixed.IMAGE_SECTION_PHRASES)} END AS section FROM images""")
+  ELSE {O.classify("lower(concat_ws(' ', section_heading, caption, keywords, left(description, 300)))", fixed.IMAGE_SECTION_PHRASES)} END AS section FROM images""")
 def classify_image_section(spark, d):
     return T.images(spark, d).select("row_id", I.classify_image_section(
         F.col("section_heading"), F.col("section_hint"), F.col("caption"), F.col("keywords"), F.col("description")).alias("section"))

@@ -29,7 +29,7 @@ def doc_prior(spark, d):
 
 @register("bm25_index", f"WITH {O.BM25} SELECT chunk_id, term, tf_h::BIGINT AS tf_h, tf_b::BIGINT AS tf_b, dl::BIGINT AS dl FROM post JOIN lens USING (chunk_id)")
 def bm25_index(spark, d):
-    return R.postings(T.chunks(spark, d)).filter(F.col("term") != R.ALL_CHUNKS).select(
+    return R.postings(T.chunks(spark, d)).select(
         "chunk_id", "term", F.col("tf_h").cast("long").alias("tf_h"), F.col("tf_b").cast("long").alias("tf_b"),
         F.col("dl").cast("long").alias("dl"))
 
@@ -38,8 +38,8 @@ def bm25_index(spark, d):
 WITH {O.BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, tot""")
 def bm25_term_stats(spark, d):
     stats = R.term_statistics(R.postings(T.chunks(spark, d)))
-    n = stats.filter(F.col("term") == R.ALL_CHUNKS).select("df").scalar()
-    return stats.filter(F.col("term") != R.ALL_CHUNKS).select(
+    n = R.chunk_totals(T.chunks(spark, d)).select("n").scalar()
+    return stats.select(
         "term", "df", F.round(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 

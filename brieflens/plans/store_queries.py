@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunking as B
-from ..operators.lineage import checkpoint_dir
+from ..sources.store import shared_dir
 from ..sources import store as S
 from ..sources import tables as T
 from . import oracle as O
@@ -129,7 +129,7 @@ def rejoin_tables_by_doc(spark, d):
 @register("chunk_store")
 def chunk_store(spark, d):
     """Write the chunk table, overwrite one project, read it back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/chunk_store_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/chunk_store_{uuid.uuid4().hex}"
     chunks = T.chunks(spark, d).select("chunk_id", "file_id", "doc_name", "chunk_text", "project_id")
     S.write_chunks(chunks, path)
     S.write_chunks(chunks.filter("project_id = 'p3'").withColumn("doc_name", F.lit("Replaced")), path)
@@ -157,4 +157,4 @@ def build_index(spark, d):
     from ..operators import ranking as R
     chunks = B.number_chunks(B.chunk_blocks(block_rows(spark, d))).select(
         F.concat("project_id", F.lit(":"), F.col("chunk_id").cast("string")).alias("chunk_id"), F.col("file_id").alias("doc_name"), "section_heading", "chunk_text")
-    return R.term_statistics(R.postings(chunks)).filter(F.col("term") != R.ALL_CHUNKS)
+    return R.term_statistics(R.postings(chunks))

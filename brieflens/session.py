@@ -25,6 +25,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **extra: str) -
         .appName("brieflens")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
+        .config("spark.brieflens.inputPartitions", str(shuffle_partitions))
     )
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)

@@ -87,11 +87,19 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
-    """The chunk store; a missing store reads as empty."""
+    """The chunk store; a path that does not exist reads as empty, any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as why:
+        if why.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as `spark.checkpoint.dir` names it; the warehouse where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def delete_file_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:

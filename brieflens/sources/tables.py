@@ -18,25 +18,20 @@ TAG_WORDS = ["introduction scope", "kpi", "", "demand planning", "supply plannin
 QUERY_EXTRAS = [" forecast interface", " sop constraints", "", " show me the go-live diagram"]
 
 
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}  # tables whose rows are long texts
-SPREAD_BYTES_PER_CORE = 64 * 1024 * 1024
+LONG_ROWS = {"documents": "doc_id", "pages": "page_id"}  # tables whose rows are long texts
+INPUT_PARTITIONS = "spark.brieflens.inputPartitions"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
-
+    """A table as its files are split.
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small table of long texts over all cores.
-
-    A parquet file of one row group is read by one task, which would do all the
-    text work alone.  Large inputs have enough row groups and are left as they
-    are, so nothing is shuffled at scale; the size is the planner's estimate.
+    A small parquet file of one row group is read by one task.  Where that is
+    the case, as in local tests and benches, the session may name a number of
+    partitions to deal long texts out to; unset, as on a cluster, nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPREAD_BYTES_PER_CORE else df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, "") if name in LONG_ROWS else ""
+    return df.repartition(int(parts), LONG_ROWS[name]) if parts else df
 
 
 def pick(index, values: list[str]):
