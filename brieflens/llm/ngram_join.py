@@ -13,8 +13,9 @@ such sets.  A common line or passage rarely fills a group alone, so it rarely
 makes a key, and no n-gram statistics are needed.
 
 Links.  In a block (the sets of one key) every set is first compared with the
-block's smallest set; verified links contract blocks of near copies to few
-components.  Blocks that still hold several components are indexed: the points
+set that has the most keys in common with others, then with one of another
+component; verified links contract blocks of near copies to few components.
+Blocks that still hold several components are indexed: the points
 are the counts of n-grams by hash group, the nodes of a packed R-tree hold the
 largest and smallest counts below them, and the sum of coordinate minima bounds
 the overlap of a query with all sets of a node.  Pairs of different components
@@ -44,9 +45,10 @@ from pyspark.sql import functions as F
 from .common import free_name, stored, whole_text
 from .components import components
 
-DIMS = 32  # coordinates of a count vector
+DIMS = 256  # coordinates of a count vector
 LEAF, FANOUT = 16, 16
 TILE = 2048
+STARS = 2  # rounds in which a block is compared with one of its sets
 FILTER_BITS = 1 << 26  # fixed size of the membership bitmaps sent to tasks: 8 MB
 SEED = 0x9E3779B97F4A7C15
 
@@ -221,12 +223,12 @@ class CountTree:
 
 
 def block_pairs(rows: dict[str, np.ndarray], like: Likeness) -> Iterator[tuple[int, int]]:
-    """Pairs of a block's tiles that may link: different components, neither the block's first set, bound passed."""
+    """Pairs of a block's tiles that may link: different components, neither a hub of the block, bound passed."""
     points, sid, comp, tile, hub = rows["vec"], rows["sid"], rows["comp"], rows["tile"], rows["hub"]
     tree = CountTree(points, like)
     apart = len(np.unique(tile)) > 1
     for k in range(len(sid)):
-        if hub[k]:
+        if hub[k]:  # tested against all of the block
             continue
         hits = tree.near(points[k])
         hits = hits[(comp[hits] != comp[k]) & ~hub[hits] & (sid[hits] > sid[k])]
@@ -275,7 +277,7 @@ def occurs(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(key, sid), once per set and task; only keys in the bitmap if one is given."""
+    """(key, sid), once per set and task; with a bitmap only its keys, and how many of the set's keys are in it."""
     shared = sets.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +291,16 @@ def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
             lists = batch.column(1).take(pa.array(new, pa.int64()))
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.array([ids[k] for k in new], np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
+            made = [keys, owner]
             if there is not None:
                 use = occurs(there, keys)
-                keys, owner = keys[use], owner[use]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owner, pa.int64())], names=["key", "sid"])
+                place = np.repeat(np.arange(len(new)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                common = np.bincount(place[use], minlength=len(new))
+                made = [keys[use], owner[use], common[place[use]]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "sid", "common"][:len(made)])
 
-    return sets.filter("sid IS NOT NULL").select("sid", "keys").mapInArrow(run, "key long, sid long")
+    return sets.filter("sid IS NOT NULL").select("sid", "keys").mapInArrow(
+        run, "key long, sid long" + (", common long" if shared is not None else ""))
 
 
 def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> DataFrame:
@@ -314,12 +320,12 @@ def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> Data
                     sid = set_id(grams)
                     if sid not in seen and occurs(there, np.int64(sid)):
                         seen.add(sid)
-                        out.append((sid, count_vector(grams), grams.view(np.int64)))
+                        out.append((sid, count_vector(grams).astype("<u4").tobytes(), grams.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32())),
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
                  pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sid", "vec", "grams"])
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "sid long, vec array<int>, grams array<long>")
+    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "sid long, vec binary, grams array<long>")
     return stored(rows.groupBy("sid").agg(F.first("vec").alias("vec"), F.first("grams").alias("grams")), "grams")
 
 
@@ -342,14 +348,30 @@ def verified(pairs: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def residual_pairs(members: DataFrame, roots: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs that the index lets through in blocks with three sets or more of several components."""
+def of_several(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored: the blocks of `members` (key, sid, common, hub) that hold several components, with comp, size and
+    `near`, the component of the block's hubs."""
     labelled = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "key", "sid", "hub", F.coalesce("root", "sid").alias("comp"))
-    labelled = stored(labelled, "blocks")
-    several = (labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-               .filter("low < high AND size > 2").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    rows = labelled.join(several, "key").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+        "key", "sid", "common", "hub", F.coalesce("root", "sid").alias("comp"))
+    blocks = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"),
+                                         F.max(F.when(F.col("hub"), F.col("comp"))).alias("near"))
+    return stored(labelled.join(blocks.filter("low < high AND size > 2").drop("low", "high"), "key"), "blocks")
+
+
+def central(members: DataFrame) -> DataFrame:
+    """(key, first, home) of each block: its set with the most common keys, and that set's component.
+
+    Edits make keys that no other set has, so this is the least edited copy of a
+    block of near copies, and most of the block links with it.
+    """
+    best = members.groupBy("key").agg(F.max(F.struct("common", "sid", "comp")).alias("best"))
+    return best.select("key", F.col("best.sid").alias("first"), F.col("best.comp").alias("home"))
+
+
+def residual_pairs(members: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs that the index lets through in blocks that still hold several components."""
+    rows = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     rows = rows.join(grams.select("sid", "vec"), "sid")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.select("key", "sid", "hub", "comp", "tile", "vec", other.alias("other"))
@@ -361,7 +383,7 @@ def residual_pairs(members: DataFrame, roots: DataFrame, grams: DataFrame, like:
         def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(parts)
             rows = {c: table.column(c).to_numpy() for c in ("sid", "comp", "tile", "hub")}
-            rows["vec"] = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, DIMS)
+            rows["vec"] = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<u4").astype(np.int32).reshape(-1, DIMS)
             made: list[tuple[int, int]] = []
             for pair in block_pairs(rows, like):
                 made.append(pair)
@@ -396,17 +418,22 @@ def residual_pairs(members: DataFrame, roots: DataFrame, grams: DataFrame, like:
 def joined(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest id that links lead to)."""
     sets = shingled(docs, n, like, id_col, text_col)
-    counts = (key_rows(sets).groupBy("key").agg(F.min("sid").alias("first"), F.count("*").alias("rows"))
-              .filter("rows > 1").select("key", "first"))
-    counts = stored(counts, "keys")
-    members = key_rows(sets, bitmap(F.col("key"), counts)).join(counts, "key")
-    members = stored(members.distinct(), "members")
-    stars = members.filter("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+    shared = stored(key_rows(sets).groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
+    members = key_rows(sets, bitmap(F.col("key"), shared)).join(shared, "key", "left_semi").distinct()
+    members = stored(members, "members")
     grams = gram_rows(docs, n, bitmap(F.col("sid"), members.select("sid").distinct()), text_col)
-    links = verified(stars, grams, like)
-    hubs = members.select("key", "sid", (F.col("sid") == F.col("first")).alias("hub"))
-    more = verified(residual_pairs(hubs, components(links), grams, like), grams, like)
-    roots = components(links.union(more))
+    blocks = members.withColumns({"comp": F.col("sid"), "hub": F.lit(False)})
+    links = None
+    for turn in range(STARS):
+        hubs = stored(central(blocks.filter("NOT hub AND comp != near") if turn else blocks), "hubs")
+        met = blocks.join(hubs, "key")
+        pairs = met.filter("comp != home").select(F.least("first", "sid").alias("a"), F.greatest("first", "sid").alias("b")).distinct()
+        found = verified(pairs, grams, like)
+        links = found if links is None else links.union(found)
+        marked = met.select("key", "sid", "common", (F.col("hub") | (F.col("sid") == F.col("first"))).alias("hub"))
+        blocks = of_several(marked, components(links))
+    links = links.union(verified(residual_pairs(blocks, grams, like), grams, like))
+    roots = components(links)
     rows = sets.select("doc_id", "n_shingles", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "sid").alias("node"))
     least = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
