@@ -348,6 +348,14 @@ def verified(pairs: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def different_blocks(members: DataFrame) -> DataFrame:
+    """One block of those that hold the same sets: two near copies share many keys, but need one comparison."""
+    blocks = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("one"),
+                                        F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("two"))
+    first = blocks.filter("size > 1").groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key")
+    return members.join(first, "key", "left_semi")
+
+
 def of_several(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Stored: the blocks of `members` (key, sid, common, hub) that hold several components, with comp, size and
     `near`, the component of the block's hubs."""
@@ -420,7 +428,7 @@ def joined(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_c
     sets = shingled(docs, n, like, id_col, text_col)
     shared = stored(key_rows(sets).groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
     members = key_rows(sets, bitmap(F.col("key"), shared)).join(shared, "key", "left_semi").distinct()
-    members = stored(members, "members")
+    members = stored(different_blocks(stored(members, "members")), "members")
     grams = gram_rows(docs, n, bitmap(F.col("sid"), members.select("sid").distinct()), text_col)
     blocks = members.withColumns({"comp": F.col("sid"), "hub": F.lit(False)})
     links = None
