@@ -187,8 +187,12 @@ def incoming(spark, d):
         "project_id", "section_id", F.when(o % 4 == 0, "").when(o % 4 == 1, c).otherwise(F.concat(c, F.lit(" updated"))).alias("content"))
 
 
+def preview_sql(x, most=520):
+    return f"CASE WHEN length({O.collapse(x)}) <= {most} THEN {O.collapse(x)} ELSE rtrim(left({O.collapse(x)}, {most}), {O.WS}) || '...' END"
+
+
 @register("import_preview", f"""
-WITH {BASE}, {INCOMING} SELECT i.project_id, i.section_id, s.title, length(i.content) AS chars, {O.collapse('i.content')} AS preview, coalesce(a.content, '') <> '' AS has_current, {O.collapse("coalesce(a.content, '')")} AS current_preview
+WITH {BASE}, {INCOMING} SELECT i.project_id, i.section_id, s.title, length(i.content) AS chars, {preview_sql('i.content', 700)} AS preview, coalesce(a.content, '') <> '' AS has_current, {preview_sql("coalesce(a.content, '')", 700)} AS current_preview
 FROM incoming i JOIN secs s USING (project_id, section_id) LEFT JOIN approved a USING (project_id, section_id)""")
 def import_preview(spark, d):
     return S.import_preview(incoming(spark, d), secs(spark, d), approved(spark, d))
@@ -249,7 +253,7 @@ DIFF = f"""{VERSIONS}, diff AS (SELECT coalesce(a.project_id, b.project_id) AS p
 
 
 @register("version_diff", f"""
-WITH {DIFF} SELECT project_id, section_id, change, length(before) AS before_chars, length(after) AS after_chars, {O.collapse('before')} AS before_preview, {O.collapse('after')} AS after_preview FROM diff WHERE change <> 'unchanged'""")
+WITH {DIFF} SELECT project_id, section_id, change, length(before) AS before_chars, length(after) AS after_chars, {preview_sql('before')} AS before_preview, {preview_sql('after')} AS after_preview FROM diff WHERE change <> 'unchanged'""")
 def version_diff(spark, d):
     return S.diff_details(S.version_diff(*two(spark, d)))
 
