@@ -46,3 +46,14 @@ def free_name(taken: Iterable[str], wish: str) -> str:
     while wish.lower() in names:
         wish += "_"
     return wish
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """As `stored`, but bucketed and sorted by `column`: the table, which joins on it read without a shuffle, and its
+    files as a plain table, whose shuffled joins adaptive execution can split."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(table)
+    return spark.table(table), spark.read.schema(df.schema).parquet(path)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, whole_text
+from .common import bucketed, free_name, stored, whole_text
 from .components import components
 
 DIMS = 256  # coordinates of a count vector
@@ -303,8 +303,8 @@ def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
         run, "key long, sid long" + (", common long" if shared is not None else ""))
 
 
-def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> DataFrame:
-    """Stored: sid, vec, grams of the sets in the bitmap, one row each."""
+def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored by sid: sid, vec, grams of the sets in the bitmap, one row each; see `bucketed`."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +326,16 @@ def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> Data
                  pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sid", "vec", "grams"])
 
     rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "sid long, vec binary, grams array<long>")
-    return stored(rows.groupBy("sid").agg(F.first("vec").alias("vec"), F.first("grams").alias("grams")), "grams")
+    once = rows.groupBy("sid").agg(F.first("vec").alias("vec"), F.first("grams").alias("grams"))
+    return bucketed(once, "grams", "sid")
 
 
-def verified(pairs: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
-    """The (a, b) of `pairs` that link, by their whole sets."""
+def verified(pairs: DataFrame, grams: tuple[DataFrame, DataFrame], like: Likeness) -> DataFrame:
+    """The (a, b) of `pairs` that link, by their whole sets.
+
+    b, which is in few pairs, is joined without moving the sets; a, which may be
+    the hub of very many, by a shuffle that adaptive execution can split.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
@@ -343,8 +348,9 @@ def verified(pairs: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
                     keep.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda name: grams.select(F.col("sid").alias(name), F.col("grams").alias(f"{name}_grams"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_grams", "b_grams")
+    of = lambda rows, name: rows.select(F.col("sid").alias(name), F.col("grams").alias(f"{name}_grams"))
+    by_id, plain = grams
+    both = pairs.join(of(by_id, "b"), "b").join(of(plain, "a"), "a").select("a", "b", "a_grams", "b_grams")
     return stored(both.mapInArrow(run, "a long, b long"), "links")
 
 
@@ -376,11 +382,11 @@ def central(members: DataFrame) -> DataFrame:
     return best.select("key", F.col("best.sid").alias("first"), F.col("best.comp").alias("home"))
 
 
-def residual_pairs(members: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
+def residual_pairs(members: DataFrame, grams: tuple[DataFrame, DataFrame], like: Likeness) -> DataFrame:
     """Pairs that the index lets through in blocks that still hold several components."""
     rows = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    rows = rows.join(grams.select("sid", "vec"), "sid")
+    rows = rows.join(grams[0].select("sid", "vec"), "sid")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.select("key", "sid", "hub", "comp", "tile", "vec", other.alias("other"))
     rows = rows.select("key", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "sid", "hub", "comp", "tile", "vec")
@@ -435,7 +441,7 @@ def joined(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_c
     for turn in range(STARS):
         hubs = stored(central(blocks.filter("NOT hub AND comp != near") if turn else blocks), "hubs")
         met = blocks.join(hubs, "key")
-        pairs = met.filter("comp != home").select(F.least("first", "sid").alias("a"), F.greatest("first", "sid").alias("b")).distinct()
+        pairs = met.filter("comp != home").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
         found = verified(pairs, grams, like)
         links = found if links is None else links.union(found)
         marked = met.select("key", "sid", "common", (F.col("hub") | (F.col("sid") == F.col("first"))).alias("hub"))
