@@ -12,7 +12,8 @@ block that reaches its lower bound stops at once.
 
 Cases: a null or empty text is one piece that holds the end id alone; repeated
 rows are packed as often as they occur; an empty table gives an empty result;
-ties are broken by place, so a packing depends on the stored pieces alone.
+ties are broken by place, so a packing depends on the stored pieces alone; a
+text's own end mark (MARK) counts as `tokenizers` counts it.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ BLOCK = 8192
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2, 2, 4, 4
 KEPT_WORDS = 600_000
 END = b"\0\0\0\0"  # id 0 after each document
+MARK, MARK_ID = "<|endoftext|>", 50256  # the vocabulary's added token, which is no rank
 ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -65,7 +67,8 @@ class Tokens:
     The split pattern always begins a new word at a space before a visible
     character and at a line end between visible ones, so the words can be
     encoded one at a time and remembered.  Text with other white space is cut
-    at the first kind of place only.
+    at the first kind of place only.  MARK is taken out before any splitting and
+    has the id MARK_ID.
     """
 
     def __init__(self, ranks_file: str, pattern: str):
@@ -74,9 +77,14 @@ class Tokens:
         coding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.first, self.next = Words(coding, ""), Words(coding, " ")
         self.line = np.array(coding.encode_ordinary("\n"), "<u4").tobytes()
+        self.mark = np.array([MARK_ID], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        return self.mark.join(map(self.between, text.split(MARK)))
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without MARK."""
         if not text:
             return b""
         if ODD_SPACE.search(text):

@@ -58,8 +58,15 @@ def test_words_give_the_tokenizers_ids(text):
     assert list(array("I", tool.encode(text))) == HF.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([packing.MARK, packing.MARK, packing.MARK[:5], packing.MARK[5:], " ", "\n", "a", "b c", "\t", "'s", "1", "é"]), max_size=12))
+def test_the_added_token_has_its_own_id(parts):
+    tool, text = packing.tokens(RANKS, public_tokenizers.PATTERN), "".join(parts)
+    assert list(array("I", tool.encode(text))) == HF.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
-    texts = [t for t in ODD if t != ODD[11]] + [("word " * k) for k in range(1, 900, 7)] + ["same text"] * 40
+    texts = ODD + [("word " * k) for k in range(1, 900, 7)] + ["same text"] * 40
     found = packing.packed(packing.tokenised(docs(spark, texts), RANKS, public_tokenizers.PATTERN), block=64).collect()
     rows = {(r.doc_id, r.piece): r for r in found}
     total = 0
