@@ -74,6 +74,28 @@ def test_proposals_are_chosen_by_form_and_context(spark):
     assert spans[1] == spans[3] == spans[4] == ""
 
 
+def test_generator_matches_pass_their_gates():
+    marks = ["at", " at ", "[at]", " [ at ] ", "( AT )", "@", " @ ", ".", " . ", " dot ", " dot", "[.]", " [.] ", "(.)", " (.) ", " dot  ",
+             "(dot)", " { dot } ", "-", " - ", "/", "_", " ", ""]
+    parts = [["anna", "host", "com"], ["1", "2", "3", "4"], ["10", "0", "0", "1"], ["123", "45", "6789"], ["4111"] * 4, ["DE44", *["5001"] * 4]]
+    seen = set()
+    for words in parts:
+        for one in marks:
+            for other in marks:
+                text = words[0] + one + other.join(words[1:])
+                for kind, pattern in pii.GENERATORS.items():
+                    if re.search(pattern, text):
+                        seen.add(kind)
+                        assert re.search(pii.NEEDS[kind], text), (kind, text)
+    assert seen == set(pii.GENERATORS)
+
+
+def test_spelled_out_addresses_need_no_other_digits(spark):
+    said = ["server 10 dot 0 dot 0 dot 1", "host 10 [.] 20 [.] 30 [.] 40"]
+    rows = pii.report(frame(spark, said + [x + " in 1 2 3 days" for x in said])).orderBy("doc_id").collect()
+    assert [r.spans for r in rows] == ["ip:7:27", "ip:5:28"] * 2
+
+
 def test_redaction(spark):
     rows = ["mail x.y@mail.example or +1 (743) 555-3824, é 10.0.0.1!", None, "nothing here", "é@é 4111 1111 1111 1111"]
     out = pii.redacted(frame(spark, rows)).orderBy("doc_id").collect()
