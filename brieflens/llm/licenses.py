@@ -1,15 +1,19 @@
 """Licence texts by sentence rules: sentences -> sentence ids -> ordered rules.
 
-A text is cut into sentences; each is normalised (letters and digits of the
-Latin alphabet in lower case, single spaces) and looked up among the known licence
-sentences.  The ids found, in order, are matched against the rules: a rule fits
+A text is cut at sentence ends, blank lines and line breaks; the parts are normalised
+(letters and digits of the Latin alphabet in lower case, single spaces).  A known
+sentence is one part or several in a row that only single line breaks separate, so
+titles of one line and hard-wrapped texts are both found; marks at the beginning of
+a line (comments, indent) count for nothing, and a blank line before an address
+counts as a single break.  The ids found, in order, are matched against the rules: a rule fits
 where its ids stand next to each other among the known sentences, the longest
 rule first, from left to right.  Everything happens in the row that holds the
 text, with built-in functions; texts without a word that every known sentence
 needs are not cut up at all.
 
 Cases: null and empty texts have no sentences; the same licence twice is listed
-twice; a sentence of any length is looked up whole; ids and rules are fixed, so
+twice; where a known sentence begins another one, the longer one counts; a sentence
+of any length is looked up whole; ids and rules are fixed, so
 equal texts give equal rows; an empty table gives an empty result.
 """
 
@@ -22,8 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
+# The oracle's cuts: it knows sentences of one line only.
 CUT = r"[.!?;][\x20\x09-\x0D]+|[\x0A\x0D]+"
 OTHER = r"[^a-z0-9]+"
+# In turn: line ends in one form; comment marks; sentence ends and blank lines to bars; the rest to single spaces.
+STEPS = [
+    (r"\r\n?", "\n"), (r"(?<![^\n])(?:[^a-z0-9\n]|(?:rem|dnl)[\x20\t])+", ""), (r"[.!?;][\x20\x09-\x0D]+", "|"),
+    (r"\n\n++(?!https?\b)", "|"), (r"[^a-z0-9\n|]+", " "), (r"[\x20\n]*+\|[\x20\n|]*+", "|"), (r"\x20?\n[\x20\n]*+", "\n"),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Known sentences: id, text (public licence wordings).
@@ -96,7 +106,7 @@ ANCHORS = ["licen", "permission", "software", "warrant", "redistribution"]
 
 
 def plain(text: str) -> list[str]:
-    """Normalised sentences of a known text: the same steps as `sentences`, in Python."""
+    """Normalised sentences of a known text: the same steps as the oracle's, in Python."""
     lower = text.translate(str.maketrans(UPPER, LOWER))
     return [x for x in (re.sub(OTHER, " ", s).strip(" ") for s in re.split(CUT, lower)) if x]
 
@@ -123,10 +133,18 @@ def rule_ids() -> list[tuple[str, list[str]]]:
     return sorted(rules, key=lambda r: -len(r[1]))
 
 
-def sentences(text: Column) -> Column:
-    """All normalised sentences of a text."""
-    lower = F.translate(text, UPPER, LOWER)
-    return F.transform(F.split(lower, CUT), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+def parts(text: Column) -> Column:
+    """The normalised parts of a text, each between bars (cuts) or line ends (single breaks)."""
+    out = F.translate(text, UPPER + "|", LOWER + ",")
+    for pattern, mark in STEPS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(mark))
+    return F.concat(F.lit("|"), F.trim(out), F.lit("|"))
+
+
+def sentence_pattern() -> str:
+    """A known sentence, wrapped or not, as whole parts; the longest first."""
+    words = (x.replace(" ", r"[\x20\n]") for x in sorted(known_sentences(), key=lambda x: (-len(x), x)))
+    return rf"(?<=[|\n])(?:{'|'.join(words)})(?=[|\n])"
 
 
 def rule_pattern() -> str:
@@ -142,7 +160,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     maybe = F.contains(lower, F.lit(ANCHORS[0]))
     for word in ANCHORS[1:]:
         maybe = maybe | F.contains(lower, F.lit(word))
-    ids = F.when(maybe, F.filter(F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda x: x.isNotNull()))
+    found = F.regexp_extract_all(parts(text), F.lit(sentence_pattern()), F.lit(0))
+    ids = F.when(maybe, F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     line = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     hits = F.transform(F.regexp_extract_all(line, F.lit(rule_pattern()), F.lit(0)), lambda x: F.element_at(licence_of, x))
@@ -151,7 +170,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    """The same result as DuckDB SQL over `documents`."""
+    """DuckDB SQL over `documents`: the same result where no known sentence goes over several lines."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known_sentences().items())
     rules = ", ".join(f"({quote(''.join(f'<{i}>' for i in ids))}, {quote(name)})" for name, ids in rule_ids())

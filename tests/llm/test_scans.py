@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -135,6 +136,33 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Every rule's text at 72 columns, plain and in comments, has the ids of the same text on one line."""
+    bodies = [". ".join(licenses.SENTENCES[k].rstrip(":") for k in names) + "." for _, names in licenses.RULES]
+    texts = list(bodies)
+    for mark, end in (("", "\n"), ("   ", "\r\n"), (" * ", "\n"), ("// ", "\n"), ("# ", "\r\n"), (";; ", "\n"), ("! ", "\n"), ("dnl ", "\n"), ("REM ", "\r\n")):
+        texts += [end.join(mark + x for x in ["Copyright (c) 2020 A", *textwrap.wrap(t, 72 - len(mark), break_on_hyphens=False), "Words go on"]) for t in bodies]
+    got = licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()
+    n = len(bodies)
+    assert [r.licenses for r in got[:n]] == [licence for licence, _ in licenses.RULES]
+    for i, r in enumerate(got):
+        assert (r.n_sentences, r.sentence_ids, r.licenses) == (got[i % n].n_sentences, got[i % n].sentence_ids, got[i % n].licenses), texts[i]
+
+
+def test_licence_headers_as_found_in_files(spark):
+    texts = [
+        "/*\n * Copyright 2020 A\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in"
+        " compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n"
+        " * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n"
+        " * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n * See the License for the specific language governing permissions"
+        " and\n * limitations under the License.\n */",
+        "The MIT License (MIT)\nCopyright (c) 2020 A\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+        "Released under\n\nthe MIT License", "released under the\nMIT License", "not\nreleased under the\nMIT License today", "a|MIT License"]
+    rows = licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == ["Apache-2.0", "MIT", "", "MIT", "", ""]
+    assert "apache-copy" in rows[0].sentence_ids and rows[0].n_sentences == len(rows[0].sentence_ids.split(",")) >= 5
+
+
 def corpus(rng, n):
     words = [noise(rng, "abcdefgh", 4) for _ in range(300)]
     rows = []
