@@ -1,10 +1,11 @@
 """Secrets: fixed patterns, and tokens that look random to two character models.
 
 A first-order Markov model of the characters of random strings and one of
-ordinary identifiers are trained from labelled samples; a token's score is the
-mean log-likelihood ratio per character.  Tokens over the threshold, which is
-set on held-out samples for at most one ordinary identifier in MISSES, are added
-to the spans of the patterns.  Each text is scanned whole inside its Arrow batch.
+ordinary ones (identifiers, words, numbers, rulers) are trained from labelled
+samples; a token's score is the mean log-likelihood ratio per character.  Every
+maximal run of at least MIN_VALUE characters of the alphabet is a token (a dot
+separates); those over the threshold, which is set on held-out samples for at most
+one ordinary string in MISSES, are added to the spans of the patterns.  Each text is scanned whole inside its Arrow batch.
 
 Cases: null and empty texts have no spans; positions are code points, ends
 exclusive; spans of one kind never overlap; a random token that meets a pattern's
@@ -33,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 MIN_VALUE = 12
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_VALUE},}}")
 SAMPLES = 6000
 MISSES = 1000
 
@@ -56,17 +57,37 @@ server service session set shape size sort source stack start state status step
 switch symbol system table target task template test text thread time title token tool total track type unit update upload
 user value version video view visible width window word worker write zone""".split()
 
-
-def random_sample(rng: random.Random) -> str:
-    kind, n = rng.randrange(4), rng.randint(20, 44)
+# Words of running text: English, French, Spanish and German.
+PROSE = """about after again against although because before between business certain children community company condition
+consider continue country decision development different education environment everything experience following government
+however important including increase information interest international knowledge language management national necessary
+nothing organisation particular people perhaps possible president probably problem production programme question research
+something therefore together understand university without yesterday
+alors apres aujourd avant avoir beaucoup besoin cette chaque chose comme comprendre croissance depuis developpement
+economique encore ensemble enfant entreprise etre gouvernement histoire jamais jour leur longtemps maintenant meilleur
+moment monde nouveau parce parfois personne peuple plusieurs pourquoi premier quelque question raison reponse semaine
+toujours travail utilisation vraiment
+ahora algunos antes aunque ayuda cada ciudad conocimiento cuando desarrollo despues donde durante ejemplo empresa entonces
+espacio experiencia familia gobierno hacer historia importante informacion lugar manera mejor mientras mismo momento mucho
+nacional necesidad ninguno nuestro nuevo palabra pequeno persona porque primero problema programa proyecto pueblo siempre
+sistema tambien tiempo todavia trabajo
+aber achtung allgemein anderen arbeit aufgabe ausbildung bedeutung beispiel besonders bezirk bildung damit deutsch dienst
+einfach entwicklung erfahrung erste forschung freiheit ganz gemeinschaft geschichte gesellschaft gesetz gesundheit gross
+haupt immer jahr keine kraft kunst land leben leistung mensch moeglichkeit nachricht nichts ordnung pflicht pfund platz
+politik recht schaft schiff schule schutz sicherheit sprache staat stadt strasse unternehmen verfahren verkehr versicherung
+verwaltung vielleicht wirtschaft wissenschaft zeit zukunft zwischen""".split()
+
+
+def random_sample(rng: random.Random, least: int = 20) -> str:
+    kind, n = rng.randrange(4), rng.randint(least, 44)
     letters = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62] + "_-", ALPHABET[:26] + ALPHABET[52:62])[kind]
     return "".join(rng.choice(letters) for _ in range(n))
 
 
-def ordinary_sample(rng: random.Random) -> str:
+def ordinary_sample(rng: random.Random, least: int = 18) -> str:
     """A compound of words in one of the usual spellings, with an index, a version or a date at times."""
     parts: list[str] = []
-    while len("".join(parts)) < 18:
+    while len("".join(parts)) < least:
         parts.append(rng.choice(WORDS))
     kind = rng.randrange(5)
     if kind == 0:
@@ -81,6 +102,22 @@ def ordinary_sample(rng: random.Random) -> str:
     return text + ("", str(rng.randint(0, 99)), f"_v{rng.randint(1, 20)}", f"-20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 30)}")[tail]
 
 
+def running_sample(rng: random.Random) -> str:
+    """Words of running text, joined or with dashes or slashes; a number, a date or groups of digits; a ruler."""
+    kind = rng.randrange(10)
+    if kind == 0:
+        return rng.choice("-=_+/") * rng.randint(MIN_VALUE, 80)
+    if kind == 1:
+        return "".join(rng.choice("0123456789") for _ in range(rng.randint(MIN_VALUE, 24)))
+    if kind == 2:
+        mark = rng.choice("-/_")
+        return mark.join(str(rng.randint(10 ** (n - 1), 10 ** n - 1)) for n in rng.choices((2, 3, 4), k=5))
+    text = rng.choice(PROSE)
+    while len(text) < MIN_VALUE:
+        text += rng.choice(("", "", "", "", "-", "/", "_")) + rng.choice(PROSE)
+    return rng.choice((text, text, text, text.capitalize(), text.upper()))
+
+
 def steps(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of each character and the one before it (a start mark first)."""
     code = CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
@@ -118,7 +155,8 @@ def trained(samples: list[tuple[str, int]]) -> RatioTest:
 def default_test(seed: int = 11) -> RatioTest:
     """Trained on SAMPLES made strings of each class."""
     rng = random.Random(seed)
-    made = [(random_sample(rng), 1) if k % 2 else (ordinary_sample(rng), 0) for k in range(2 * SAMPLES)]
+    ordinary = lambda k: running_sample(rng) if k % 4 else ordinary_sample(rng, MIN_VALUE)
+    made = [(random_sample(rng, MIN_VALUE), 1) if k % 2 else (ordinary(k), 0) for k in range(2 * SAMPLES)]
     rng.shuffle(made)
     return trained(made)
 

@@ -126,6 +126,21 @@ def test_random_strings_against_identifiers():
     assert [text[a:b] for a, k, b in secrets.found(text, model) if k == 3] == ["Zk4vT9qLxW2mB7nRc5Yd8Hs1"]
 
 
+def test_random_strings_of_any_form_are_scored():
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ",
+           "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    cases = [("my key is Zk4vT9qLxW2mB7nRc5Yd8Hs1. Next", ["Zk4vT9qLxW2mB7nRc5Yd8Hs1"]), ("bearer " + ".".join(jwt) + ".", jwt),
+             ("letters ZkvTqLxWmBnRcYdHsJpG only", ["ZkvTqLxWmBnRcYdHsJpG"]), ("short x9Kq2Lw7Zp4T one", ["x9Kq2Lw7Zp4T"]),
+             ("-" * 40 + "\n" + "=" * 30 + " representatives internationalization 20240517102233 2024-05-17-10-22 Donaudampfschifffahrt", [])]
+    model, rng = secrets.default_test(), random.Random(78)
+    for text, want in cases:
+        assert [text[a:b] for a, k, b in secrets.found(text, model) if k == 3] == want
+    for n in (12, 19):
+        keys = ["".join(rng.choice(secrets.ALPHABET[:52]) for _ in range(n)) for _ in range(500)]
+        assert sum(secrets.found(f"a {x}. B", model) == [(2, 3, 2 + n)] for x in keys) > 475
+    assert sum(model.score(secrets.running_sample(rng)) > model.threshold for _ in range(1000)) < 10
+
+
 def test_licences(spark):
     mit = " ".join(licenses.SENTENCES[k] + "." for k in ("mit-name", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"))
     texts = ["", None, "Words.\nReleased under the MIT License.", mit.replace("following conditions:.", "following conditions:\n"),
