@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from . import exact_dedup, licenses, media, ngram_join, packing, pieces, pii, secrets, toxicity, warc
+from pyspark.sql import functions as F
+
+from . import (
+    clusters,
+    decontaminate,
+    exact_dedup,
+    infill,
+    licenses,
+    media,
+    ngram_join,
+    packing,
+    pieces,
+    pii,
+    secrets,
+    toxicity,
+    warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +98,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"), 4, ngram_join.Likeness(85, 100))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.indexed(table(spark, sf_dir, "documents"))
+    found = decontaminate.contamination(index, table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256)).drop("item_ids")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.restored(infill.transformed(infill.framed(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media": op2_media,
@@ -94,5 +123,15 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
     "op10_ngram_join": op10_ngram_join,
+    "op11_clusters": op11_clusters,
+    "op12_decontamination": op12_decontamination,
+    "op13_infill": op13_infill,
+}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op6_warc": OP6_SQL,
+    "op8_licenses": licenses.oracle(),
+    "op11_clusters": clusters.oracle(),
+    "op12_decontamination": decontaminate.ORACLE,
+    "op13_infill": infill.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_licenses": licenses.oracle()}
