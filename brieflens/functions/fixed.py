@@ -45,24 +45,35 @@ NEIGHBOR_MIN_FACTOR = 0.55
 MAX_PASSAGES = 12
 COVERAGE_MIN = 0.55
 ANSWER_TTL_SECONDS = 3600
-QUESTION_STOP = (
-    "the and for with from that this are was will have been their what which how does did is of "
-    "to in on a an do can about tell me please"
-).split()
-LEXICAL_STOP = "the and for with from that this are was will have been their into per via".split()
+QUESTION_STOP = [
+    "the", "and", "for", "with", "from", "that", "this", "are", "was", "will", "have", "been", "their",
+    "what", "which", "how", "does", "did", "is", "of", "to", "in", "on", "a", "an", "do", "can", "about",
+    "tell", "me", "please",
+]
+LEXICAL_STOP = [
+    "the", "and", "for", "with", "from", "that", "this", "are", "was", "will", "have", "been", "their",
+    "into", "per", "via",
+]
+BLEND_STOP = [
+    "the", "and", "for", "with", "from", "that", "this", "are", "was", "will", "have", "been", "their",
+    "each", "also", "into", "its", "not", "has",
+]
 
 # --- fixed values: chunking and keywords ---
 CHUNK_CHARS = 2000
 OVERLAP_CHARS = 200
 KEYWORDS_PER_CHUNK = 12
-KEYWORD_STOP = (
-    "the a an and or but in on at to for of with by from is it as be was are been being have has "
-    "had do does did will would could should may might shall can this that these those i we you "
-    "he she they me him her us them my our your his its their what which who whom when where why "
-    "how not no nor if then than so very just about up out into over after before between under "
-    "also each all any both few more most other some such only own same too s t re ll ve d m don "
-    "doesn didn won isn aren were hasn haven hadn wouldn couldn shouldn"
-).split()
+KEYWORD_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is",
+    "it", "as", "be", "was", "are", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "shall", "can", "this", "that", "these", "those", "i",
+    "we", "you", "he", "she", "they", "me", "him", "her", "us", "them", "my", "our", "your", "his", "its",
+    "their", "what", "which", "who", "whom", "when", "where", "why", "how", "not", "no", "nor", "if",
+    "then", "than", "so", "very", "just", "about", "up", "out", "into", "over", "after", "before",
+    "between", "under", "also", "each", "all", "any", "both", "few", "more", "most", "other", "some",
+    "such", "only", "own", "same", "too", "s", "t", "re", "ll", "ve", "d", "m", "don", "doesn", "didn",
+    "won", "isn", "aren", "were", "hasn", "haven", "hadn", "wouldn", "couldn", "shouldn",
+]
 SECTION_PHRASES = {
     "1": ["introduction", "purpose", "scope", "company information", "definitions", "acronyms",
           "background", "overview"],
@@ -81,19 +92,22 @@ SECTION_PHRASES = {
     "6": ["data integration", "data integrations", "architecture", "data sources", "data files",
           "data frequency", "interface", "inbound", "outbound", "etl", "middleware"],
 }
-RANK_NOISE = (
-    "plan planning supply chain demand data process flow image text table title figure chart "
-    "document file page section item part type value values level overview details information "
-    "general report analysis scenario scenarios metric metrics review results result"
-).split()
-TOPIC_NOISE = (
-    "plan planning supply chain demand data process flow image text table title figure chart "
-    "workbook worksheet sheet document file page section item part type value values level date "
-    "time name code unit units order orders note notes summary overview details information "
-    "embedded labeled modified resource there following general used using ability assign define "
-    "update analysis description report output input inputs outputs implementation responsibility "
-    "scenario scenarios metric metrics tracking months criteria results result review"
-).split()
+RANK_NOISE = [
+    "plan", "planning", "supply", "chain", "demand", "data", "process", "flow", "image", "text", "table",
+    "title", "figure", "chart", "document", "file", "page", "section", "item", "part", "type", "value",
+    "values", "level", "overview", "details", "information", "general", "report", "analysis", "scenario",
+    "scenarios", "metric", "metrics", "review", "results", "result",
+]
+TOPIC_NOISE = [
+    "plan", "planning", "supply", "chain", "demand", "data", "process", "flow", "image", "text", "table",
+    "title", "figure", "chart", "workbook", "worksheet", "sheet", "document", "file", "page", "section",
+    "item", "part", "type", "value", "values", "level", "date", "time", "name", "code", "unit", "units",
+    "order", "orders", "note", "notes", "summary", "overview", "details", "information", "embedded",
+    "labeled", "modified", "resource", "there", "following", "general", "used", "using", "ability",
+    "assign", "define", "update", "analysis", "description", "report", "output", "input", "inputs",
+    "outputs", "implementation", "responsibility", "scenario", "scenarios", "metric", "metrics",
+    "tracking", "months", "criteria", "results", "result", "review",
+]
 
 # --- fixed values: patterns on titles, headings and locators ---
 TITLE_PREFIX = (
@@ -102,6 +116,10 @@ TITLE_PREFIX = (
 CHECK_TITLE_PREFIX = (
     r"(?i)^\s*(?:section\s+)?(?:[0-9]+(?:\.[0-9]+)*|appendix\s+[a-z])[\.\)\:\-—–\s]+"
 )
+SECTION_NUMBER = r"^\s*(\d+(?:\.\d+)*)\.?[\s\-–:]+(.+?)\s*\z"
+SECTION_MARKER = r"^[ \t]{0,3}#{1,4}[ \t]*([0-9]+(?:\.[0-9]+)*)\b.*$"
+# a header row, a separator row, then rows; in a form that cannot backtrack per cell
+STRICT_TABLE = r"\|[^\n]*\|\n\|(?:\s*-+\s*\|)+\n(?:\|[^\n]*\|\n)*"
 HEDGES = ["idk", "don't know", "dont know", "not sure", "tbd", "you decide", "suggest", "propose"]
 EMPTY_WORDS = ["", "null", "none", "n/a", "na", "tbd", "not specified", "not stated", "unknown",
                "not provided"]
@@ -119,7 +137,7 @@ IMAGE_TAG_ANY = (
 SECTION_LINE = r"(?i)^section\s+([0-9]+(?:\.[0-9]+)*)\s*[:.)-]?\s*(.*)$"
 NUMBERED_PUNCT_LINE = r"^([0-9]+(?:\.[0-9]+)*)(?:\s*[:)-]\s+|\.\s+)(.+)$"
 NUMBERED_LINE = r"^([0-9]+(?:\.[0-9]+)*)\s+(.+)$"
-TITLE_FILLERS = "the a an of and for to in on".split()
+TITLE_FILLERS = ["the", "a", "an", "of", "and", "for", "to", "in", "on"]
 CAPTION_SKIP_HEADINGS = ["note", "tip", "important", "unknown"]
 
 # --- fixed values: fact gathering ---
@@ -157,12 +175,13 @@ IMAGE_INTENT = (
     r"chart|charts|graphic|graphics|fl/?chart|flow ?chart|swimlane|drawing|drawings|"
     r"snapshot|show me|depict|visualis|visualiz)\b"
 )
-IMAGE_REQUEST_WORDS = (
-    "image images picture pictures photo photos diagram diagrams figure figures screenshot "
-    "screenshots screen shot illustration illustrations visual visuals graphic graphics flowchart "
-    "swimlane drawing drawings snapshot show see display depict explain tell give including "
-    "include includes relevant related any some view"
-).split()
+IMAGE_REQUEST_WORDS = [
+    "image", "images", "picture", "pictures", "photo", "photos", "diagram", "diagrams", "figure",
+    "figures", "screenshot", "screenshots", "screen", "shot", "illustration", "illustrations", "visual",
+    "visuals", "graphic", "graphics", "flowchart", "swimlane", "drawing", "drawings", "snapshot", "show",
+    "see", "display", "depict", "explain", "tell", "give", "including", "include", "includes", "relevant",
+    "related", "any", "some", "view",
+]
 JUNK_IMAGE = r"(?i)\b(?:logo|branding|abstract|background|decorative|watermark)\b"
 DIAGRAM_TITLE = (
     r"(?i)\b(?:architecture|landscape|topology|process\s+flow|to-?be|as-?is|workflow|swimlane|"

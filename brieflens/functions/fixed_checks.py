@@ -50,7 +50,10 @@ RISK_COLUMNS = {
 }
 OWNER_WORDS = ["customer", "client", "supplier", "vendor", r"third[\s\-]?party", "joint", "both parties"]
 CLIENT_WORDS = ["customer", "client", r"third[\s\-]?party", "joint", "both parties"]
-COMPANY_SUFFIXES = "inc llc ltd limited corp corporation gmbh plc sa bv co company group holdings the".split()
+COMPANY_SUFFIXES = [
+    "inc", "llc", "ltd", "limited", "corp", "corporation", "gmbh", "plc", "sa", "bv", "co", "company",
+    "group", "holdings", "the",
+]
 
 # --- fixed values: patterns ---
 CONFIRM = r"(?i)<\s*CONFIRM\s*:"

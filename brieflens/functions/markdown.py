@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from . import text as X
 from .arrays import let
-from .structure import STRICT_TABLE, detect_heading, lines, word_count
+from .structure import detect_heading, lines, word_count
 
 TABLE_TAG = r"(?is)<table[^>]*>.*?</table>"
 IMAGE_TAG = r"(?i)<IMAGE\b[^>]*/>"
@@ -69,7 +69,7 @@ def drop_placeholder_rows(c: Column) -> Column:
 
 def normalize_table_text(c: Column) -> Column:
     """Re-space the rows of every complete table; other text is kept unless blank."""
-    table = X.uni(STRICT_TABLE)
+    table = X.uni(fixed.STRICT_TABLE)
 
     def tidy(t: Column) -> Column:
         return F.array_join(F.transform(F.split(X.strip(t), "\n"), lambda row: F.concat(

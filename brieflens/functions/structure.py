@@ -69,9 +69,6 @@ def clean_toc_text(c: Column) -> Column:
     return X.collapse(F.regexp_replace(X.strip(no_pages), X.uni(r"[ \t]*\.{2,}[ \t]*\d+\s*\z"), ""))
 
 
-SECTION_NUMBER = r"^\s*(\d+(?:\.\d+)*)\.?[\s\-–:]+(.+?)\s*\z"
-
-
 def assign_section_ids(entries: Column) -> Column:
     """Ids for contents entries ``array<struct<title, level>>``.
 
@@ -79,7 +76,7 @@ def assign_section_ids(entries: Column) -> Column:
     count up at their level and reset the deeper ones.
     """
     width = 12
-    number = X.uni(SECTION_NUMBER)
+    number = X.uni(fixed.SECTION_NUMBER)
     out = "array<struct<id:string,title:string,level:int>>"
     start = F.struct(
         F.array_repeat(F.lit(0), width).alias("count"), F.array().cast(out).alias("rows"))
@@ -148,15 +145,12 @@ def outline(items: Column) -> Column:
     return let(flat, build)
 
 
-MARKER = r"^[ \t]{0,3}#{1,4}[ \t]*([0-9]+(?:\.[0-9]+)*)\b.*$"
-
-
 def split_marked(text: Column, allowed: Column) -> Column:
     """Split at ``### id`` lines whose id is allowed: ``array<struct<id, content>>``.
 
     A later block of the same id replaces the earlier one.
     """
-    marker = X.uni(MARKER)
+    marker = X.uni(fixed.SECTION_MARKER)
 
     def build(ls: Column) -> Column:
         marks = F.filter(
@@ -245,10 +239,6 @@ def extract_tables(text: Column) -> Column:
     return let(pipes, build)
 
 
-# a header row, a separator row, then rows; in a form that cannot backtrack per cell
-STRICT_TABLE = r"\|[^\n]*\|\n\|(?:\s*-+\s*\|)+\n(?:\|[^\n]*\|\n)*"
-
-
 def extract_tables_strict(text: Column) -> Column:
     """Tables with a separator row: ``array<struct<headers, rows>>``; misfit rows dropped."""
     def parse(table: Column) -> Column:
@@ -260,7 +250,7 @@ def extract_tables_strict(text: Column) -> Column:
             F.filter(F.transform(F.slice(ls, 3, F.size(ls)), lambda x: filled(x)),
                      lambda r: F.size(r) == F.size(head)).alias("rows"))))
 
-    return F.transform(F.regexp_extract_all(X.text_or_empty(text), F.lit(X.uni(STRICT_TABLE)), F.lit(0)), parse)
+    return F.transform(F.regexp_extract_all(X.text_or_empty(text), F.lit(X.uni(fixed.STRICT_TABLE)), F.lit(0)), parse)
 
 
 def split_adjacent_tables(items: Column) -> Column:

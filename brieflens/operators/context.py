@@ -15,10 +15,6 @@ from ..functions import text as X
 from .numbering import top_k
 from .ranking import best_first, substring_counts, text_fields, title_words
 
-BLEND_STOP = (
-    "the and for with from that this are was will have been their each also into its not has"
-).split()
-
 
 def neighbor_expand(
     anchors: DataFrame, chunks: DataFrame,
@@ -174,7 +170,7 @@ def blend_rank(
         return (F.col(name) > 0).cast("double")
 
     plain = 3 * hit("head") + 2 * hit("kws") + hit("text")
-    searched = (~F.col("term").isin(BLEND_STOP)).cast("double") * (10 * hit("doc") + plain)
+    searched = (~F.col("term").isin(fixed.BLEND_STOP)).cast("double") * (10 * hit("doc") + plain)
     points = words.join(counts, "term").groupBy("section_id", "chunk_id").agg(
         F.sum(searched + plain + 5 * hit("head")).alias("points"))
     parts = [points]

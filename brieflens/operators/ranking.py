@@ -65,6 +65,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("q_id", F.explode(X.expand_terms(F.col("query"))).alias("term"))
 
 
+def bm25_idf(n: Column, df: str = "df") -> Column:
+    return F.log(1 + (n - F.col(df) + 0.5) / (F.col(df) + 0.5))
+
+
+def bm25_weight(in_head: str, in_body: str, length: str, avgdl: Column) -> Column:
+    """What one posting adds to a score, but for the idf: both fields saturated, weighted, times the file's prior."""
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col(length) / avgdl)
+
+    def saturated(tf: str) -> Column:
+        return F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)
+
+    return F.col("prior") * (fixed.HEADING_WEIGHT * saturated(in_head) + fixed.BODY_WEIGHT * saturated(in_body))
+
+
 def bm25_scores(terms: DataFrame, post: DataFrame, totals: DataFrame) -> DataFrame:
     """q_id, chunk_id, score for every pair that shares a term.
 
@@ -73,15 +87,9 @@ def bm25_scores(terms: DataFrame, post: DataFrame, totals: DataFrame) -> DataFra
     vocabulary = terms.select("term").distinct()
     stats = term_statistics(post.join(vocabulary, "term", "left_semi"))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
-    weighted = terms.join(stats, "term").select(
-        "q_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / avgdl)
-
-    def saturated(tf: str) -> Column:
-        return F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)
-
+    weighted = terms.join(stats, "term").select("q_id", "term", bm25_idf(n).alias("idf"))
     # everything but the idf depends on the posting alone, so it is computed before the join multiplies rows
-    weight = F.col("prior") * (fixed.HEADING_WEIGHT * saturated("tf_h") + fixed.BODY_WEIGHT * saturated("tf_b"))
+    weight = bm25_weight("tf_h", "tf_b", "dl", avgdl)
     return (
         post.select("chunk_id", "term", weight.alias("w")).join(weighted, "term")
         .groupBy("q_id", "chunk_id")
@@ -137,33 +145,51 @@ def _grams(c: Column) -> Column:
         F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
 
 
-def _words(c: Column) -> Column:
+def space_words(c: Column) -> Column:
+    """Lower-cased words between white space, in order."""
     return F.filter(F.split(F.lower(X.text_or_empty(c)), X.uni(r"\s+")), lambda w: w != "")
 
 
 def _field_words(name: str, c: Column) -> Column:
-    return F.transform(term_counts(_words(c)), lambda t: F.struct(
+    return F.transform(term_counts(space_words(c)), lambda t: F.struct(
         F.lit(name).alias("field"), t["term"].alias("word"), t["n"].alias("n")))
 
 
+def rarest_grams(keyed: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, gram: of the substrings of three characters of a term (itself, if shorter) the one that the fewest words hold."""
+    whole = F.length("term") <= 3
+    at = F.sequence(F.lit(1), F.greatest(F.length("term") - 2, F.lit(1)))
+    grams = F.when(whole, F.array("term")).otherwise(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("term"), i, F.lit(3)))))
+    asked = terms.select("term").distinct().select("term", F.explode(grams).alias("gram"))
+    held = keyed.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    return asked.join(held, "gram", "left").groupBy("term").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+
+
+def matching_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term, hits: the words of a vocabulary that contain a term, and how often.
+
+    Words and terms meet on the term's rarest three characters, so no common opening makes a hot key.
+    """
+    keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    return keyed.join(rarest_grams(keyed, terms), "gram").filter(F.contains("word", F.col("term"))).select(
+        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
+
+
 def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame) -> DataFrame:
     """chunk_id, term and one count per field, for terms found anywhere in a field.
 
     A term without whitespace lies inside one whitespace-delimited word.  So the
-    distinct words of the corpus are matched to the terms (an equi-join on the
-    term's first three characters, then `contains`), and the matches are joined
-    to the words of each chunk.  No text is compared with a term directly.
+    distinct words of the corpus are matched to the terms (`matching_words`), and
+    the matches are joined to the words of each chunk.  No text is compared with a
+    term directly.
     """
     words = chunks.select("chunk_id", F.explode(F.concat(*[
         _field_words(name, c) for name, c in fields.items()
     ])).alias("w")).select("chunk_id", "w.*")
     vocabulary = chunks.select(F.explode(F.array_distinct(F.concat(*[
-        _words(c) for c in fields.values()]))).alias("word")).distinct()
-    keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
-    matches = keyed.join(wanted, "gram").filter(F.contains("word", F.col("term"))).select(
-        "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
-    found = words.join(matches, "word")
+        space_words(c) for c in fields.values()]))).alias("word")).distinct()
+    found = words.join(matching_words(vocabulary, terms), "word")
     return found.groupBy("chunk_id", "term").agg(*[
         F.sum(F.when(F.col("field") == name, F.col("n") * F.col("hits")).otherwise(0)).alias(name)
         for name in fields
@@ -181,22 +207,22 @@ def text_fields(*names: str) -> dict[str, Column]:
     return {name: every[name] for name in names}
 
 
-def _tf_weight() -> Column:
+def tf_weight() -> Column:
     tf = F.col("text") + 2 * F.col("kws") + 3 * F.col("head")
-    return (1.0 + F.log(tf.cast("double"))).alias("w")
+    return 1.0 + F.log(tf.cast("double"))
 
 
-def _idf(df: Column, n: Column) -> Column:
-    return F.log(1.0 + n / (1.0 + df)).alias("idf")
+def idf(df: Column, n: Column) -> Column:
+    return F.log(1.0 + n / (1.0 + df))
 
 
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.ANCHORS) -> DataFrame:
     """Substring TF-IDF: text + 2 x keywords + 3 x heading, damped by text length."""
     terms = queries.select("q_id", F.explode(X.content_terms(F.col("query"))).alias("term"))
-    counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", _tf_weight())
+    counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", tf_weight().alias("w"))
     n = chunks.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").select("q_id", "term", _idf(F.col("df"), n))
+    weighted = terms.join(df, "term").select("q_id", "term", idf(F.col("df"), n).alias("idf"))
     scores = (
         counts.join(weighted, "term").groupBy("q_id", "chunk_id")
         .agg(F.sum(F.col("idf") * F.col("w")).alias("raw"))
@@ -233,9 +259,9 @@ def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) ->
     df = gate.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     n = chunks.groupBy("project_id").agg(F.count("*").alias("n"))
     counts = substring_counts(chunks, text_fields("text", "kws", "head"), vocabulary)
-    hits = gate.join(counts, ["chunk_id", "term"]).select("project_id", "chunk_id", "term", _tf_weight())
+    hits = gate.join(counts, ["chunk_id", "term"]).select("project_id", "chunk_id", "term", tf_weight().alias("w"))
     weighted = terms.join(df, ["project_id", "term"]).join(n, "project_id").select(
-        "project_id", "section_id", "term", _idf(F.col("df"), F.col("n")))
+        "project_id", "section_id", "term", idf(F.col("df"), F.col("n")).alias("idf"))
     scores = (
         hits.join(weighted, ["project_id", "term"])
         .groupBy("project_id", "section_id", "chunk_id")

@@ -137,7 +137,7 @@ st AS (SELECT s.section_id, s.ord, s.title || ' ' || coalesce(p.title, '') AS ti
 terms AS ({TITLE_TERMS.replace('FROM sections', 'FROM st')}),
 tags AS (SELECT chunk_id, {O.classify(O.TAGGED_HAY)} AS tag FROM chunks),
 points AS (
-  SELECT section_id, chunk_id, CASE WHEN list_contains({O.sql_list(C.BLEND_STOP)}, term) THEN 0 ELSE 1 END *
+  SELECT section_id, chunk_id, CASE WHEN list_contains({O.sql_list(fixed.BLEND_STOP)}, term) THEN 0 ELSE 1 END *
       (10 * CAST(contains(d, term) AS INT) + 3 * CAST(contains(h, term) AS INT) + 2 * CAST(contains(k, term) AS INT) + CAST(contains(t, term) AS INT))
     + 8 * CAST(contains(h, term) AS INT) + 2 * CAST(contains(k, term) AS INT) + CAST(contains(t, term) AS INT) AS points
   FROM terms, fields WHERE contains(d, term) OR contains(h, term) OR contains(k, term) OR contains(t, term)

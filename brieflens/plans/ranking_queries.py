@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import keywords as K
 from ..functions import text as X
+from ..operators import postings as P
 from ..operators import ranking as R
+from ..operators.numbering import number_by_id
 from ..sources import tables as T
+from ..sources.store import shared_dir
 from . import oracle as O
 from .registry import register
 
@@ -47,9 +52,14 @@ def rounded(df, *cols):
     return df.select(*cols, "chunk_id", "rn", F.round("score", 6).alias("score"))
 
 
+def indexed(spark, chunks, *kinds):
+    """The stored index of a chunk table, with the postings of some kinds."""
+    return P.build(chunks, f"{shared_dir(spark)}/postings_{uuid.uuid4().hex}", kinds)
+
+
 @register("bm25_search", f"WITH {O.BM25} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('scored')})")
 def bm25_search(spark, d):
-    return rounded(R.bm25_search(T.queries(spark, d), T.chunks(spark, d), 5), "q_id")
+    return rounded(P.bm25_search(T.queries(spark, d), indexed(spark, T.chunks(spark, d), "word"), 5), "q_id")
 
 
 @register("doc_filter", f"""
@@ -96,7 +106,7 @@ def classify_section(spark, d):
 
 @register("tfidf_search", f"WITH {O.TFIDF} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('tfidf', k=6)})")
 def tfidf_search(spark, d):
-    return rounded(R.tfidf_search(T.queries(spark, d), T.keyed_chunks(spark, d), 6), "q_id")
+    return rounded(P.tfidf_search(T.queries(spark, d), indexed(spark, T.keyed_chunks(spark, d), "piece"), 6), "q_id")
 
 
 LEXICAL = f"""{O.CHUNKS}, {O.KEYWORDS}, {O.FIELDS}, {O.SECTIONS},
@@ -136,7 +146,7 @@ def token_overlap_score(spark, d):
 @register("overlap_search", f"""
 WITH {O.CHUNKS}, {O.QUERIES}, {O.OVERLAP} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('overlap', k=6)})""")
 def overlap_search(spark, d):
-    return rounded(R.overlap_search(T.queries(spark, d), T.chunks(spark, d), 6), "q_id")
+    return rounded(P.overlap_search(T.queries(spark, d), indexed(spark, T.chunks(spark, d), "name"), 6), "q_id")
 
 
 @register("cosine_search", f"""
@@ -210,3 +220,67 @@ WHERE length(term) > 4 AND (contains(term, ' ') OR NOT list_contains({O.sql_list
 def useful_keyword(spark, d):
     rows = T.keyed_chunks(spark, d).select("chunk_id", F.posexplode("keywords").alias("i", "term"))
     return rows.filter(K.useful_keyword(F.col("term"))).select("chunk_id", (F.col("i") + 1).cast("long").alias("pos"), "term")
+
+
+# chunk ids that start anew in each project
+INGESTED = O.CHUNKS.replace("chunks AS (", "plain AS (", 1) + """,
+chunks AS (SELECT project_id || '|' || (row_number() OVER (PARTITION BY project_id ORDER BY chunk_id) - 1) AS chunk_id,
+  project_id, doc_name, section_heading, chunk_text, file_id FROM plain)"""
+INGESTED_BM25 = O.BM25.replace(O.CHUNKS, INGESTED)
+SPLIT = "split_part(chunk_id, '|', 1) AS project_id, CAST(split_part(chunk_id, '|', 2) AS BIGINT) AS chunk_id"
+BY_PROJECT = "CAST(split_part(chunk_id, '|', 2) AS BIGINT), split_part(chunk_id, '|', 1)"
+
+
+def ingested(spark, d):
+    """`chunks` with ids from 0 in each project, as ingest gives them."""
+    rows = number_by_id(T.chunks(spark, d), ["project_id"], "chunk_id", "seq")
+    return rows.withColumn("chunk_id", F.col("seq") - 1).drop("seq")
+
+
+@register("ingest_then_search", f"""
+WITH {INGESTED_BM25} SELECT q_id, {SPLIT}, rn, round(score, 6) AS score FROM ({O.ranked('scored', tie=BY_PROJECT)})""")
+def ingest_then_search(spark, d):
+    """Chunks of many projects with clashing ids, indexed and searched by (project_id, chunk_id)."""
+    return rounded(P.bm25_search(T.queries(spark, d), indexed(spark, ingested(spark, d), "word"), 5), "q_id", "project_id")
+
+
+@register("scoped_search", f"""
+WITH {INGESTED_BM25}, seen AS (SELECT s.* FROM scored s JOIN chunks c USING (chunk_id)
+  WHERE (q_id % 4 = 0 OR (q_id % 4 = 1 AND project_id IN ('p' || (q_id % 10), 'p' || ((q_id + 3) % 10)))
+    OR (q_id % 4 = 2 AND CAST(substring(file_id, 2) AS INT) % 8 = q_id % 8) OR (q_id % 4 = 3 AND project_id = 'p' || (q_id % 10) AND CAST(substring(file_id, 2) AS INT) % 20 = q_id % 20))
+    AND NOT (split_part(chunk_id, '|', 2)::BIGINT % 5 = q_id % 5))
+SELECT q_id, {SPLIT}, rn, round(score, 6) AS score FROM ({O.ranked('seen', tie=BY_PROJECT)})""")
+def scoped_search(spark, d):
+    """Each query sees what its own scope allows: anything, two projects, some files, or files of one project;
+    chunks it has used already are left out."""
+    q, chunks = F.col("q_id"), ingested(spark, d)
+    asked = T.queries(spark, d)
+    file_no = F.substring("file_id", 2, 9).cast("int")
+    files = chunks.select("project_id", F.upper("doc_name").alias("doc"), file_no.alias("n")).distinct()
+    name = lambda n: F.concat(F.lit("p"), (n % 10).cast("string"))
+    nothing = F.lit(None).cast("string")
+    projects = asked.filter(q % 4 == 1).select("q_id", F.explode(F.array(name(q), name(q + 3))).alias("project_id"), nothing.alias("doc"))
+    some = asked.filter(q % 4 == 2).join(files, F.col("n") % 8 == q % 8).select("q_id", nothing.alias("project_id"), "doc")
+    both = asked.filter(q % 4 == 3).join(files, (F.col("n") % 20 == q % 20) & (F.col("project_id") == name(q)), "left").select(
+        "q_id", F.coalesce("project_id", name(q)).alias("project_id"), F.coalesce("doc", F.lit("-")).alias("doc"))
+    used = asked.join(chunks.select("project_id", "chunk_id"), F.col("chunk_id") % 5 == q % 5).select("q_id", "project_id", "chunk_id")
+    found = P.bm25_search(asked, indexed(spark, chunks, "word"), 5, projects.unionByName(some).unionByName(both), used)
+    return rounded(found, "q_id", "project_id")
+
+
+CHANGED = O.CHUNKS.replace("chunks AS (", "plain AS (", 1) + """,
+chunks AS (SELECT * REPLACE (CASE WHEN CAST(substring(file_id, 2) AS INT) % 6 = 1 THEN 'changed demand ' || chunk_text ELSE chunk_text END AS chunk_text)
+  FROM plain WHERE CAST(substring(file_id, 2) AS INT) % 6 <> 2)"""
+
+
+@register("index_update", f"""
+WITH {O.BM25.replace(O.CHUNKS, CHANGED)} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('scored')})""")
+def index_update(spark, d):
+    """Build, replace some files and remove others, then search: only the groups of those files are written again."""
+    chunks = T.chunks(spark, d)
+    index = indexed(spark, chunks, "word")
+    file_no = F.substring("file_id", 2, 9).cast("int")
+    touched = chunks.filter((file_no % 6 == 1) | (file_no % 6 == 2))
+    changed = touched.filter(file_no % 6 == 1).withColumn("chunk_text", F.concat(F.lit("changed demand "), "chunk_text"))
+    P.update(index, touched.select("project_id", "file_id"), changed)
+    return rounded(P.bm25_search(T.queries(spark, d), index, 5), "q_id")
