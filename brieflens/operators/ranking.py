@@ -40,11 +40,11 @@ def postings(chunks: DataFrame, heading: str = "section_heading", body: str = "c
         X.tokens(F.col(heading)).alias("head"),
         X.tokens(F.col(body)).alias("words"),
     )
-    rows = counted.select(
-        "chunk_id", "prior", "head", (F.size("head") + F.size("words")).alias("dl"),
-        F.explode(term_counts(F.concat("head", "words"))).alias("t"),
-    )
-    in_head = F.size(F.filter("head", lambda w: w == F.col("t.term")))
+    # sized before the explode: what stands beside an explode is computed for every row it makes
+    sized = counted.select("chunk_id", "prior", "head", F.concat("head", "words").alias("every"),
+                           (F.size("head") + F.size("words")).alias("dl"))
+    rows = sized.select("chunk_id", "prior", "head", "dl", F.explode(term_counts(F.col("every"))).alias("t"))
+    in_head = F.size("head") - F.size(F.array_remove("head", F.col("t.term")))
     return rows.select(
         "chunk_id", "dl", "prior", F.col("t.term").alias("term"),
         in_head.alias("tf_h"), (F.col("t.n") - in_head).alias("tf_b"))
@@ -55,9 +55,14 @@ def term_statistics(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total_dl"))
 
 
+def token_count(c: Column) -> Column:
+    """The number of `tokens`."""
+    return F.regexp_count(X.text_or_empty(c), F.lit("[A-Za-z0-9_]+"))
+
+
 def chunk_totals(chunks: DataFrame, heading: str = "section_heading", body: str = "chunk_text") -> DataFrame:
     """One row: n chunks and their average length in tokens."""
-    length = F.size(X.tokens(F.col(heading))) + F.size(X.tokens(F.col(body)))
+    length = token_count(F.col(heading)) + token_count(F.col(body))
     return chunks.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
 
 
@@ -84,14 +89,15 @@ def bm25_scores(terms: DataFrame, post: DataFrame, totals: DataFrame) -> DataFra
 
     `totals` is the one row of `chunk_totals`; it enters as scalar subqueries.
     """
-    vocabulary = terms.select("term").distinct()
-    stats = term_statistics(post.join(vocabulary, "term", "left_semi"))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
+    # everything but the idf depends on the posting alone, so it is computed before the join multiplies rows;
+    # the postings of the asked terms move once, and both readers share that exchange
+    asked = post.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = asked.select("chunk_id", "term", bm25_weight("tf_h", "tf_b", "dl", avgdl).alias("w")).repartition("term")
+    stats = asked.groupBy("term").agg(F.count_if(F.col("w").isNotNull() & F.col("chunk_id").isNotNull()).alias("df"))
     weighted = terms.join(stats, "term").select("q_id", "term", bm25_idf(n).alias("idf"))
-    # everything but the idf depends on the posting alone, so it is computed before the join multiplies rows
-    weight = bm25_weight("tf_h", "tf_b", "dl", avgdl)
     return (
-        post.select("chunk_id", "term", weight.alias("w")).join(weighted, "term")
+        asked.join(weighted, "term")
         .groupBy("q_id", "chunk_id")
         .agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
         .filter(F.col("score") > 0)
@@ -138,11 +144,14 @@ def doc_search(queries: DataFrame, chunks: DataFrame, k: int = 5, snippet_chars:
 
 # ---------------------------------------------------------------- substring counts without a cross join
 
-def _grams(c: Column) -> Column:
-    """Distinct substrings of one to three characters."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[
-        F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+def _grams(c: Column, shortest: int) -> Column:
+    """Distinct substrings of `shortest` to three characters."""
+    def of(n: int) -> Column:
+        last = F.length(c) - (n - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(shortest, 4)]))
 
 
 def space_words(c: Column) -> Column:
@@ -166,17 +175,18 @@ def rarest_grams(keyed: DataFrame, terms: DataFrame) -> DataFrame:
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
 
 
-def matching_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+def matching_words(vocabulary: DataFrame, terms: DataFrame, shortest: int = 1) -> DataFrame:
     """word, term, hits: the words of a vocabulary that contain a term, and how often.
 
-    Words and terms meet on the term's rarest three characters, so no common opening makes a hot key.
+    Words and terms meet on the term's rarest three characters, so no common opening makes a hot key.  Terms have at
+    least `shortest` characters (1 to 3).
     """
-    keyed = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    keyed = vocabulary.select("word", F.explode(_grams(F.col("word"), shortest)).alias("gram"))
     return keyed.join(rarest_grams(keyed, terms), "gram").filter(F.contains("word", F.col("term"))).select(
         "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
 
 
-def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame) -> DataFrame:
+def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFrame, shortest: int = 1) -> DataFrame:
     """chunk_id, term and one count per field, for terms found anywhere in a field.
 
     A term without whitespace lies inside one whitespace-delimited word.  So the
@@ -189,7 +199,7 @@ def substring_counts(chunks: DataFrame, fields: dict[str, Column], terms: DataFr
     ])).alias("w")).select("chunk_id", "w.*")
     vocabulary = chunks.select(F.explode(F.array_distinct(F.concat(*[
         space_words(c) for c in fields.values()]))).alias("word")).distinct()
-    found = words.join(matching_words(vocabulary, terms), "word")
+    found = words.join(matching_words(vocabulary, terms, shortest), "word")
     return found.groupBy("chunk_id", "term").agg(*[
         F.sum(F.when(F.col("field") == name, F.col("n") * F.col("hits")).otherwise(0)).alias(name)
         for name in fields
@@ -219,9 +229,11 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.ANCHORS) -> DataFrame:
     """Substring TF-IDF: text + 2 x keywords + 3 x heading, damped by text length."""
     terms = queries.select("q_id", F.explode(X.content_terms(F.col("query"))).alias("term"))
-    counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms).select("chunk_id", "term", tf_weight().alias("w"))
+    known = chunks.filter("chunk_id IS NOT NULL")  # as the join with the sizes asks anyway
+    counts = substring_counts(known, text_fields("text", "kws", "head"), terms, 3).select("chunk_id", "term", tf_weight().alias("w"))
     n = chunks.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # counts every column, so that both readers of `counts` share one exchange
+    df = counts.groupBy("term").agg(F.count_if(F.col("w").isNotNull() & F.col("chunk_id").isNotNull()).alias("df"))
     weighted = terms.join(df, "term").select("q_id", "term", idf(F.col("df"), n).alias("idf"))
     scores = (
         counts.join(weighted, "term").groupBy("q_id", "chunk_id")
@@ -258,7 +270,7 @@ def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) ->
         vocabulary, "term", "left_semi")
     df = gate.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     n = chunks.groupBy("project_id").agg(F.count("*").alias("n"))
-    counts = substring_counts(chunks, text_fields("text", "kws", "head"), vocabulary)
+    counts = substring_counts(chunks, text_fields("text", "kws", "head"), vocabulary, 3)
     hits = gate.join(counts, ["chunk_id", "term"]).select("project_id", "chunk_id", "term", tf_weight().alias("w"))
     weighted = terms.join(df, ["project_id", "term"]).join(n, "project_id").select(
         "project_id", "section_id", "term", idf(F.col("df"), F.col("n")).alias("idf"))
@@ -308,68 +320,114 @@ def overlap_search(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFra
 
 # ---------------------------------------------------------------- vectors
 
-QUERY_BLOCK = 2048  # query vectors held by one task at a time
+BLOCK = 2048  # vectors in a block
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, min_score: float | None, k: int | None) -> DataFrame:
-    """q_id, chunk_id, score from unit-vector products, computed where the chunks lie.
+def vector_blocks(rows: DataFrame, id_cols: list[str], vec_col: str, more: list[str] = ()) -> DataFrame:
+    """Rows packed to blocks of at most `BLOCK` vectors of one length: ids (array of struct), vectors (array of double), dims.
 
-    Query vectors go to the tasks in blocks of about `QUERY_BLOCK`, so neither
-    the driver nor a task holds more, however many queries there are.  With `k`
-    each batch keeps only its own best k per query (ties included).
+    Vectors are packed where they lie, one block at a time for each length a task meets, so nothing is shuffled and a
+    task holds one open block per length.  Null and empty vectors are left out, a null component counts as zero.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    vectors = chunks.filter(F.size("embedding") > 0).select("chunk_id", "embedding")
-    parts = []
-    for block in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block).select("q_id", "embedding")
-        parts.append(_block_products(vectors, mine.collect(), min_score, k))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _block_products(vectors: DataFrame, asked: list, min_score: float | None, k: int | None) -> DataFrame:
-    ids = [row["q_id"] for row in asked]
-    rows = [list(row["embedding"]) for row in asked]
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def block(dims, parts):
+            ids, flats = zip(*parts, strict=True)
+            ids, flat = pa.concat_arrays(ids), pa.concat_arrays(flats)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, flat)]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([dims], pa.int32())], names=["ids", "vectors", "dims"])
+
+        waiting: dict[int, list] = {}
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(lengths):
+                at = pa.array(np.flatnonzero(lengths == dims))
+                own, flat = ids.take(at), vectors.take(at).flatten().fill_null(0.0)
+                open_rows = waiting.setdefault(int(dims), [])
+                for a in range(0, len(own), BLOCK):
+                    part = own.slice(a, BLOCK)
+                    if sum(len(x) for x, _ in open_rows) + len(part) > BLOCK:
+                        yield block(dims, open_rows)
+                        open_rows.clear()
+                    open_rows.append((part, flat.slice(a * dims, len(part) * dims)))
+        for dims, parts in waiting.items():
+            if parts:
+                yield block(dims, parts)
+
+    packed = rows.filter(F.size(vec_col) > 0).select(
+        F.struct(*id_cols, *more).alias("ids"), F.col(vec_col).cast("array<double>").alias("vectors"))
+    kind = packed.schema["ids"].dataType.simpleString()
+    return packed.mapInArrow(run, f"ids array<{kind}>, vectors array<double>, dims int")
+
+
+def similarities(
+    queries: DataFrame, chunks: DataFrame, min_score: float | None, k: int | None, key: list[str] = ("chunk_id",),
+) -> DataFrame:
+    """q_id, the `key` columns of the chunk, score: cosine of each query vector with each chunk vector of its length.
+
+    Queries and chunks are packed to blocks by Spark; each query block meets each chunk block in a task of its own
+    choosing, and with `k` only the best k of a block (ties included) leave it.  The driver sees no vector, and no job
+    runs before the result is asked for.  A zero vector scores zero.  A query may carry `exclude`, an array of chunk
+    ids, and `scope`, an array of project ids (null: any), which `chunks` then has as project_id.
+    """
+    rules = [c for c in ("exclude", "scope") if c in queries.columns]
+    own = list(dict.fromkeys([*key, "chunk_id", *(["project_id"] if "scope" in rules else [])]))
+    q = vector_blocks(queries, ["q_id"], "embedding", rules).select(
+        F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"))
+    c = vector_blocks(chunks, own, "embedding")
 
     def products(batches):
         import numpy as np
         import pyarrow as pa
 
-        def unit(m):
+        def unit(flat, dims):
+            m = flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
             size = np.linalg.norm(m, axis=1, keepdims=True)
             return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-        q = unit(np.array(rows, dtype=np.float64)) if rows else None
-        q_ids = np.array(ids, dtype=np.int64)
         for batch in batches:
-            if q is None or batch.num_rows == 0:
-                continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            c_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            scores = q @ unit(flat.reshape(len(c_ids), -1)).T
-            keep = np.ones_like(scores, dtype=bool) if min_score is None else scores >= min_score
-            if k is not None and scores.shape[1] > k:
-                floor = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-                keep &= scores >= floor - 1e-9
-            qi, ci = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[qi]), pa.array(c_ids[ci]), pa.array(scores[qi, ci])],
-                names=["q_id", "chunk_id", "score"])
-
-    return vectors.mapInArrow(products, "q_id long, chunk_id long, score double")
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for r in range(len(batch)):
+                dims = col["dims"][r].as_py()
+                if col["q_dims"][r].as_py() != dims:
+                    continue
+                asked, held = col["q_ids"][r].values, col["ids"][r].values
+                scores = unit(col["q_vectors"][r].values, dims) @ unit(col["vectors"][r].values, dims).T
+                keep = np.ones_like(scores, dtype=bool) if min_score is None else scores >= min_score
+                for rule, column in (("exclude", "chunk_id"), ("scope", "project_id")):
+                    if rule in rules:
+                        known: dict = {}
+                        code = np.array([known.setdefault(x, len(known)) for x in held.field(column).to_pylist()])
+                        for i, values in enumerate(asked.field(rule).to_pylist()):
+                            if values is not None:
+                                named = np.isin(code, [known[x] for x in values if x in known])
+                                keep[i] &= named if rule == "scope" else ~named
+                if k is not None and scores.shape[1] > k:
+                    seen = np.where(keep, scores, -np.inf)
+                    keep &= scores >= np.partition(seen, -k, axis=1)[:, -k, None] - 1e-9
+                qi, ci = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [asked.field("q_id").take(pa.array(qi)), *(held.field(x).take(pa.array(ci)) for x in key), pa.array(scores[qi, ci])],
+                    names=["q_id", *key, "score"])
+
+    kinds = [f"{x} {rows.schema[x].dataType.simpleString()}" for rows, names in ((queries, ["q_id"]), (chunks, key)) for x in names]
+    return c.crossJoin(q).mapInArrow(products, ", ".join([*kinds, "score double"]))
 
 
 def cosine_search(
     queries: DataFrame, chunks: DataFrame, k: int = 8, min_score: float = 0.25,
-    exclude: DataFrame | None = None,
+    exclude: DataFrame | None = None, key: list[str] = ("chunk_id",),
 ) -> DataFrame:
-    """Top `k` chunks per query vector with cosine at least `min_score`."""
+    """Top `k` chunks per query vector with cosine at least `min_score`.
+
+    `exclude` (chunk_id) holds chunks no query may see; for lists or scopes of single queries see `similarities`.
+    """
     pool = chunks if exclude is None else chunks.join(exclude.select("chunk_id"), "chunk_id", "left_anti")
-    return top_k(similarities(queries, pool, min_score, k), ["q_id"], best_first(), k)
+    order = [*best_first(), *[F.col(x) for x in key if x != "chunk_id"]]
+    return top_k(similarities(queries, pool, min_score, k, key), ["q_id"], order, k)
 
 
 def hybrid_search(semantic: DataFrame, keyword: DataFrame, k: int = 6) -> DataFrame:

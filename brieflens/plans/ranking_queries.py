@@ -59,6 +59,12 @@ def indexed(spark, chunks, *kinds):
 
 @register("bm25_search", f"WITH {O.BM25} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('scored')})")
 def bm25_search(spark, d):
+    return rounded(R.bm25_search(T.queries(spark, d), T.chunks(spark, d), 5), "q_id")
+
+
+@register("indexed_bm25_search", f"WITH {O.BM25} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('scored')})")
+def indexed_bm25_search(spark, d):
+    """As `bm25_search`, from a stored index."""
     return rounded(P.bm25_search(T.queries(spark, d), indexed(spark, T.chunks(spark, d), "word"), 5), "q_id")
 
 
@@ -106,6 +112,12 @@ def classify_section(spark, d):
 
 @register("tfidf_search", f"WITH {O.TFIDF} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('tfidf', k=6)})")
 def tfidf_search(spark, d):
+    return rounded(R.tfidf_search(T.queries(spark, d), T.keyed_chunks(spark, d), 6), "q_id")
+
+
+@register("indexed_tfidf_search", f"WITH {O.TFIDF} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('tfidf', k=6)})")
+def indexed_tfidf_search(spark, d):
+    """As `tfidf_search`, from a stored index."""
     return rounded(P.tfidf_search(T.queries(spark, d), indexed(spark, T.keyed_chunks(spark, d), "piece"), 6), "q_id")
 
 
@@ -146,6 +158,13 @@ def token_overlap_score(spark, d):
 @register("overlap_search", f"""
 WITH {O.CHUNKS}, {O.QUERIES}, {O.OVERLAP} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('overlap', k=6)})""")
 def overlap_search(spark, d):
+    return rounded(R.overlap_search(T.queries(spark, d), T.chunks(spark, d), 6), "q_id")
+
+
+@register("indexed_overlap_search", f"""
+WITH {O.CHUNKS}, {O.QUERIES}, {O.OVERLAP} SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('overlap', k=6)})""")
+def indexed_overlap_search(spark, d):
+    """As `overlap_search`, from a stored index."""
     return rounded(P.overlap_search(T.queries(spark, d), indexed(spark, T.chunks(spark, d), "name"), 6), "q_id")
 
 
@@ -163,6 +182,19 @@ def cosine_search_excluding(spark, d):
     return rounded(R.cosine_search(T.query_vectors(spark, d), chunks, 20, 0.2, banned), "q_id")
 
 
+@register("scoped_cosine_search", f"""
+WITH {O.COSINE}, seen AS (SELECT * FROM cosine WHERE score >= 0.2 AND (q_id % 3 = 0 OR (chunk_id // 20) % 10 IN (q_id % 10, (q_id + 1) % 10))
+  AND NOT (q_id % 2 = 0 AND chunk_id IN (q_id, q_id + 1, q_id + 20)))
+SELECT q_id, chunk_id, rn, round(score, 6) AS score FROM ({O.ranked('seen', k=8)})""")
+def scoped_cosine_search(spark, d):
+    """Two of three queries see two projects only; every other query leaves out chunks of its own list."""
+    q = F.col("q_id")
+    name = lambda n: F.concat(F.lit("p"), (n % 10).cast("string"))
+    asked = T.query_vectors(spark, d).withColumns({
+        "scope": F.when(q % 3 > 0, F.array(name(q), name(q + 1))), "exclude": F.when(q % 2 == 0, F.array(q, q + 1, q + 20))})
+    return rounded(R.cosine_search(asked, T.embedded_chunks(spark, d), 8, 0.2), "q_id")
+
+
 @register("section_similarity", f"WITH {O.COSINE} SELECT q_id, chunk_id, round(score, 6) AS score FROM cosine")
 def section_similarity(spark, d):
     scores = R.similarities(T.query_vectors(spark, d), T.embedded_chunks(spark, d), None, None)
