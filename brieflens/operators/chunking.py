@@ -39,15 +39,15 @@ def chunk_blocks(blocks: DataFrame) -> DataFrame:
         K.classify_section(heading, text).alias("brd_section_id"), K.keywords_tf(text).alias("keywords"))
 
 
-def number_chunks(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def number_chunks(chunks: DataFrame, existing: DataFrame | None = None, width: int = 100_000) -> DataFrame:
     """Sequential chunk ids per project after the largest existing id.
 
     `chunks` holds project_id, an integer `block_id` unique within the project,
     and `seq` within the block.  Blocks are numbered by id range, so no project
-    passes through one task.
+    passes through one task; `width` ids make a range.
     """
     sizes = chunks.groupBy("project_id", "block_id").agg(F.count("*").alias("_n"))
-    firsts = _offsets(sizes)
+    firsts = _offsets(sizes, width)
     base = F.lit(0)
     placed = chunks.join(firsts, ["project_id", "block_id"])
     if existing is not None:
