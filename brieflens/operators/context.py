@@ -195,13 +195,27 @@ def blend_rank(
     return top_k(scored.join(names, "chunk_id"), ["section_id"], order, k).drop("doc_name", "page")
 
 
+def section_candidates(scores: DataFrame, sections: DataFrame, k: int, enough: int = 4) -> DataFrame:
+    """The ranked candidates that `cross_section_dedupe` can come to: the best k * (j + 1) + `enough` of the j-th section.
+
+    Earlier sections use at most k * j chunks, so these hold the k best unused ones, and `enough` unused ones
+    whenever the whole pool does.  `scores`: project_id, section_id, chunk_id, score; `sections`: project_id,
+    section_id, ord.  The longest section list, one number, is counted first: it bounds what a task keeps per section.
+    """
+    place = Window.partitionBy("project_id").orderBy("ord", "section_id")
+    placed = sections.select("project_id", "section_id", "ord", F.row_number().over(place).alias("_j"))
+    longest = placed.agg(F.coalesce(F.max("_j"), F.lit(1))).first()[0]
+    best = top_k(scores, ["project_id", "section_id"], best_first(), k * longest + enough)
+    return best.join(placed, ["project_id", "section_id"]).filter(F.col("rn") <= k * F.col("_j") + enough).drop("_j")
+
+
 def cross_section_dedupe(hits: DataFrame, k: int, enough: int = 4) -> DataFrame:
     """Walk a project's sections in order; chunks used by earlier ones are skipped.
 
-    `hits` holds project_id, ord, section_id, chunk_id, rn, cut to a bounded
-    list per section.  A section keeps its full list when fewer than `enough`
-    unused candidates stay.  The walk is order dependent, so it is a fold over
-    the project's sections; only ids enter the fold.
+    `hits` holds project_id, ord, section_id, chunk_id, rn (see `section_candidates`).
+    A section keeps its full list when fewer than `enough` unused candidates stay.
+    The walk is order dependent, so it is a fold over the project's sections; only
+    ids enter the fold, and its state ends with the project.
     """
     lists = hits.groupBy("project_id", "ord", "section_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "chunk_id"))), lambda h: h["chunk_id"]).alias("ids"))
@@ -211,7 +225,7 @@ def cross_section_dedupe(hits: DataFrame, k: int, enough: int = 4) -> DataFrame:
         F.array().cast("array<struct<section_id:string,ids:array<bigint>>>").alias("kept"))
 
     def step(state: Column, s: Column) -> Column:
-        fresh = F.filter(s["ids"], lambda c: ~F.array_contains(state["used"], c))
+        fresh = F.array_except(s["ids"], state["used"])
         taken = F.slice(F.when(F.size(fresh) >= enough, fresh).otherwise(s["ids"]), 1, k)
         return F.struct(
             F.concat(state["used"], taken).alias("used"),

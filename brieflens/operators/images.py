@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import keywords as K
 from ..functions import text as X
 from ..functions.arrays import term_counts
+from ..sources.store import stored
 from .numbering import top_k
 
 
@@ -55,33 +56,51 @@ def diagram_weight() -> Column:
     return F.when(X.text_or_empty(F.col("caption")).rlike(X.uni(fixed.LOGO_WORDS)), 0.15).otherwise(weight.otherwise(1.0) * slide)
 
 
-def okapi_scores(queries: DataFrame, images: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """q_id, row_id, score: one-field Okapi BM25; negative idf is floored at a share of the mean idf.
+def counted_terms(images: DataFrame) -> DataFrame:
+    """One row per image and term of its indexed text, counted in the row that holds the text: row_id, dl, term, n, own, lead.
 
-    `images` carries a unique `row_id`.
+    `own`: the term is among the picture's own words (not only in its file name or id); `lead` marks one row per
+    image, an image without terms has that row alone.  `images` carries a unique `row_id`.
+    """
+    rest = X.tokens_min3(words(F.col("source_doc"), F.col("image_id")))
+    rows = images.select("row_id", X.tokens_min3(indexed_text()).alias("toks"), rest.alias("rest"))
+    sized = rows.select("row_id", "toks", "rest", F.size("toks").alias("dl"))
+    terms = sized.select("row_id", "dl", "rest", F.posexplode_outer(term_counts(F.col("toks"))).alias("pos", "t"))
+    elsewhere = F.size("rest") - F.size(F.array_remove("rest", F.col("t.term")))
+    return terms.select("row_id", "dl", F.col("t.term").alias("term"), F.col("t.n").alias("n"),
+                        (F.col("t.n") > elsewhere).alias("own"), (F.coalesce("pos", F.lit(0)) == 0).alias("lead"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """q_id, term, qn (times in the query), n_terms (distinct terms of the query)."""
+    toks = queries.select("q_id", term_counts(X.tokens_min3(F.col("query"))).alias("ts"))
+    rows = toks.select("q_id", F.size("ts").alias("n_terms"), F.explode("ts").alias("t"))
+    return rows.select("q_id", F.col("t.term").alias("term"), F.col("t.n").alias("qn"), "n_terms")
+
+
+def okapi_scores(queries: DataFrame, counted: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """q_id, row_id, score, coverage: one-field Okapi BM25; negative idf is floored at a share of the mean idf.
+
+    `counted` is read four times (lengths, frequencies twice, scores), so a search stores it first.
     """
-    toks = X.tokens_min3(indexed_text())
-    counted = images.select("row_id", F.size(toks).alias("dl"), F.explode_outer(term_counts(toks)).alias("t")).select(
-        "row_id", "dl", "t.term", "t.n")
     df = counted.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    totals = images.agg(F.count("*").alias("n"), F.avg(F.size(toks)).alias("avgdl"))
+    totals = counted.filter("lead").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
-    idf = raw.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("q_id", F.explode(X.tokens_min3(F.col("query"))).alias("term")).groupBy("q_id", "term").agg(
-        F.count("*").alias("qn"))
+    asked = _asked(queries)
+    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").select(
+        "term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
     weighted = asked.join(idf, "term").withColumn("avgdl", avgdl)
     part = F.col("qn") * F.col("idf") * (F.col("n") * (k1 + 1)) / (F.col("n") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return counted.join(weighted, "term").groupBy("q_id", "row_id").agg(F.sum(part).alias("score"))
+    return counted.join(weighted, "term").groupBy("q_id", "row_id").agg(
+        F.sum(part).alias("score"), (F.count_if("own") / F.max("n_terms")).alias("coverage"))
 
 
-def term_coverage(queries: DataFrame, images: DataFrame) -> DataFrame:
+def term_coverage(queries: DataFrame, counted: DataFrame) -> DataFrame:
     """Share of a query's distinct terms in the picture's own words (not its file name or id)."""
-    asked = queries.select("q_id", F.array_distinct(X.tokens_min3(F.col("query"))).alias("q"))
-    terms = asked.select("q_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
-    held = images.select("row_id", F.explode(F.array_distinct(X.tokens_min3(content_text()))).alias("term"))
-    return held.join(terms, "term").groupBy("q_id", "row_id").agg((F.count("*") / F.max("n_terms")).alias("coverage"))
+    return counted.filter("own").select("row_id", "term").join(_asked(queries), "term").groupBy("q_id", "row_id").agg(
+        (F.count("*") / F.max("n_terms")).alias("coverage"))
 
 
 def image_search(
@@ -91,9 +110,11 @@ def image_search(
     """Ranked images per query.  All filters act before the top-k cut; scores use the whole index.
 
     `queries` may carry `section_id`, which drops images tagged to another
-    section; `source_docs`: q_id, source_doc.
+    section; `source_docs`: q_id, source_doc.  The terms of all images are counted once
+    and kept in the shared folder.
     """
-    scores = okapi_scores(queries, images)
+    counted = stored(counted_terms(images), "image-terms")
+    scores = okapi_scores(queries, counted)
     meta = images.select("row_id", "image_id", "source_doc", "diagram_type", "section_hint", "brd_section_id",
                          is_brand_mark().alias("brand"), diagram_weight().alias("weight"))
     rows = scores.join(meta, "row_id")
@@ -111,7 +132,7 @@ def image_search(
         score = F.when(F.col("score") > 0, F.when(F.col("brand"), 0.0).otherwise(score * F.col("weight"))).otherwise(score)
     rows = rows.withColumn("score", score).filter("score > 0")
     if min_coverage > 0:
-        rows = rows.join(term_coverage(queries, images), ["q_id", "row_id"]).filter(F.col("coverage") >= min_coverage)
+        rows = rows.filter(F.col("coverage") >= min_coverage)
     if min_ratio > 0:
         best = rows.groupBy("q_id").agg(F.max("score").alias("_best"))
         rows = rows.join(best, "q_id").filter(F.col("score") >= F.col("_best") * min_ratio)

@@ -144,7 +144,7 @@ def doc_search(queries: DataFrame, chunks: DataFrame, k: int = 5, snippet_chars:
 
 # ---------------------------------------------------------------- substring counts without a cross join
 
-def _grams(c: Column, shortest: int) -> Column:
+def grams_of(c: Column, shortest: int = 1) -> Column:
     """Distinct substrings of `shortest` to three characters."""
     def of(n: int) -> Column:
         last = F.length(c) - (n - 1)
@@ -181,7 +181,7 @@ def matching_words(vocabulary: DataFrame, terms: DataFrame, shortest: int = 1) -
     Words and terms meet on the term's rarest three characters, so no common opening makes a hot key.  Terms have at
     least `shortest` characters (1 to 3).
     """
-    keyed = vocabulary.select("word", F.explode(_grams(F.col("word"), shortest)).alias("gram"))
+    keyed = vocabulary.select("word", F.explode(grams_of(F.col("word"), shortest)).alias("gram"))
     return keyed.join(rarest_grams(keyed, terms), "gram").filter(F.contains("word", F.col("term"))).select(
         "word", "term", count_in(F.col("word"), F.col("term")).alias("hits"))
 
@@ -256,6 +256,11 @@ def section_terms(sections: DataFrame) -> DataFrame:
 
 
 def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:
+    """The best `k` chunks of each section by `lexical_section_scores`."""
+    return top_k(lexical_section_scores(sections, chunks), ["project_id", "section_id"], best_first(), k)
+
+
+def lexical_section_scores(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """TF-IDF of a project's chunks per section; a term must be a whole token to count.
 
     Substrings give the frequency, whole tokens give the gate and the document
@@ -282,7 +287,7 @@ def lexical_section_rank(sections: DataFrame, chunks: DataFrame, k: int = 6) ->
     sizes = chunks.select("chunk_id", F.length("chunk_text").alias("len"))
     damped = scores.join(sizes, "chunk_id").select(
         "project_id", "section_id", "chunk_id", (F.col("raw") / (1.0 + F.col("len") / 4000.0)).alias("score"))
-    return top_k(damped.filter("score > 0"), ["project_id", "section_id"], best_first(), k)
+    return damped.filter("score > 0")
 
 
 def title_words(c: Column, longer_than: int = 3, stop: list[str] = ()) -> Column:
@@ -295,14 +300,18 @@ def token_overlap_score(terms: DataFrame, chunks: DataFrame, by: list[str]) -> D
     """3 per title word in the heading, 2 in the keywords, 1 in the text (substrings).
 
     `terms` holds `by` columns and `term`; the result has one row per pair with
-    a hit: score plus `head_hits`, the number of words in the heading.
+    a hit: score plus `head_hits`, the number of words in the heading.  With
+    project_id in `by`, only chunks of that project count.
     """
     counts = substring_counts(chunks, text_fields("text", "kws", "head"), terms)
 
     def hit(name: str) -> Column:
         return (F.col(name) > 0).cast("int")
 
-    return counts.join(terms, "term").groupBy(*by, "chunk_id").agg(
+    on = ["term"]
+    if "project_id" in by:
+        counts, on = counts.join(chunks.select("chunk_id", "project_id"), "chunk_id"), ["project_id", "term"]
+    return counts.join(terms, on).groupBy(*by, "chunk_id").agg(
         F.sum(3 * hit("head") + 2 * hit("kws") + hit("text")).alias("overlap"),
         F.sum(hit("head")).alias("head_hits"))
 

@@ -169,11 +169,21 @@ def blend_rank(spark, d):
     return C.blend_rank(sections, T.keyed_chunks(spark, d), sims, mapped, k=50)
 
 
-@register("cross_section_dedupe")
+@register("cross_section_dedupe", f"""
+WITH RECURSIVE {LEXICAL}, pool AS (SELECT project_id, section_id, list(chunk_id ORDER BY round(score, 9) DESC, chunk_id) AS ids FROM lexical GROUP BY ALL),
+steps AS (SELECT p.project_id, p.section_id, ids, row_number() OVER (PARTITION BY p.project_id ORDER BY ord) AS j
+  FROM pool p JOIN sections s ON s.project_id = p.project_id AND s.section_id = p.section_id),
+walk AS (SELECT project_id, section_id, j, ids[1:6] AS taken, ids[1:6] AS used FROM steps WHERE j = 1
+  UNION ALL SELECT project_id, section_id, j, taken, list_concat(used, taken) FROM (
+    SELECT s.project_id, s.section_id, s.j, w.used, (CASE WHEN len(list_filter(s.ids, lambda c: NOT list_contains(w.used, c))) >= 4
+      THEN list_filter(s.ids, lambda c: NOT list_contains(w.used, c)) ELSE s.ids END)[1:6] AS taken
+    FROM walk w JOIN steps s ON s.project_id = w.project_id AND s.j = w.j + 1))
+SELECT project_id, section_id, unnest(range(1, len(taken) + 1)) AS rn, unnest(taken) AS chunk_id FROM walk""")
 def cross_section_dedupe(spark, d):
-    ranked = R.lexical_section_rank(T.sections(spark, d), T.keyed_chunks(spark, d), k=20)
-    hits = ranked.join(T.sections(spark, d).select("project_id", "section_id", "ord"), ["project_id", "section_id"])
-    return C.cross_section_dedupe(hits, 6)
+    sections = T.sections(spark, d)
+    scores = R.lexical_section_scores(sections, T.keyed_chunks(spark, d))
+    found = C.cross_section_dedupe(C.section_candidates(scores, sections, 6), 6)
+    return found.withColumn("rn", F.col("rn").cast("long"))
 
 
 PROBES = "probes AS (SELECT unnest(range({n})) AS probe, unnest({lists}) AS q)".format(

@@ -16,9 +16,9 @@ from .registry import register
 IMAGES = f"""{O.CHUNKS}, {O.KEYWORDS}, kw5 AS (SELECT chunk_id, string_agg(term, ' ' ORDER BY pos) AS k FROM kw WHERE pos <= 5 GROUP BY chunk_id),
 images AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 50 = 49 THEN '' ELSE left(sha256(text), 12) END AS image_id,
   'F' || (doc_id // 20) || {O.pick('(doc_id // 20) % 7', T.DOC_SUFFIXES)} AS source_doc, nullif(doc_id % 7, 0) AS page_number,
-  CASE WHEN doc_id % 5 = 3 THEN left(sha256(text), 12) ELSE {O.pick('doc_id % 5', T.CAPTION_HEADS)} || regexp_extract(text, '^(\\S+\\s+){{0,4}}\\S+') END AS caption,
+  CASE WHEN doc_id % 5 = 3 THEN left(sha256(text), 12) ELSE {O.pick('doc_id % 5', T.CAPTION_HEADS)} || text END AS caption,
   CASE WHEN doc_id % 9 = 4 THEN '' ELSE coalesce(k, '') END AS keywords, {O.pick('doc_id % 8', T.DIAGRAM_TYPES)} AS diagram_type, (['unknown', '4 Demand', '6', ''])[doc_id % 4 + 1] AS section_hint,
-  CASE WHEN doc_id % 6 = 0 THEN '3.2 Sites' WHEN doc_id % 6 = 1 THEN 'unknown' ELSE regexp_extract(text, '^([^\\s.,|]+)', 1) END AS section_heading, left(text, 120) AS description,
+  CASE WHEN doc_id % 6 = 0 THEN '3.2 Sites' WHEN doc_id % 6 = 1 THEN 'unknown' ELSE regexp_extract(text, '^([^\\s.,|]+)', 1) END AS section_heading, text AS description,
   (['', '4', '6'])[doc_id % 3 + 1] AS brd_section_id, lang, doc_id % 11 = 0 AS slide, doc_id % 3 AS lib FROM documents LEFT JOIN kw5 ON chunk_id = doc_id)"""
 CONTENT = "concat_ws(' ', caption, keywords, section_heading, description)"
 INDEXED = "concat_ws(' ', caption, keywords, section_heading, section_heading, description, source_doc, image_id)"
@@ -52,7 +52,7 @@ def bm25_okapi_images(spark, d):
 
 @register("term_coverage", f"WITH {OKAPI} SELECT q_id, row_id, round(coverage, 6) AS coverage FROM cov")
 def term_coverage(spark, d):
-    return I.term_coverage(T.queries(spark, d), T.images(spark, d)).withColumn("coverage", F.round("coverage", 6))
+    return I.term_coverage(T.queries(spark, d), I.counted_terms(T.images(spark, d))).withColumn("coverage", F.round("coverage", 6))
 
 
 SEARCH = f"""{OKAPI}, w AS (SELECT q_id, o.row_id, image_id, source_doc, CASE WHEN {BRAND} THEN 0 ELSE o.score * {WEIGHT} * CASE WHEN slide THEN 2.0 ELSE 1.0 END END AS score
@@ -116,15 +116,13 @@ def tag_filter(spark, d):
 
 
 @register("word_and_search", f"""
-WITH {IMAGES}, q AS (SELECT item_id AS q_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' a') AS query FROM benchmark),
+WITH {IMAGES}, q AS (SELECT item_id AS q_id, lower(text) AS query FROM benchmark),
 h AS (SELECT row_id, lower(concat_ws(' ', caption, description)) AS hay FROM images)
 SELECT q_id, row_id FROM q, h WHERE len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: length(w) > 1 AND NOT contains(hay, w))) = 0""")
 def word_and_search(spark, d):
     """Every word of a query must occur: the words are found by `substring_counts`, then counted."""
-    words = F.split("text", " ")
-    text = F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1)), F.lit(" a"))
     asked_ = T.load(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.filter(
-        F.array_distinct(F.split(F.lower(text), X.uni(r"\s+"))), lambda w: F.length(w) > 1).alias("ws"))
+        F.array_distinct(F.split(F.lower("text"), X.uni(r"\s+"))), lambda w: F.length(w) > 1).alias("ws"))
     terms = asked_.select("q_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
     hay = T.images(spark, d).select(F.col("row_id").alias("chunk_id"), F.concat_ws(" ", "caption", "description").alias("hay"))
     found = R.substring_counts(hay, {"hay": F.col("hay")}, terms).join(terms, "term")

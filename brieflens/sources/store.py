@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +104,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Compute once and keep as a table in the shared folder, for what several branches read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_file_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks without those of the listed files (project_id, file_id)."""
     return chunks.join(files, ["project_id", "file_id"], "left_anti")
