@@ -79,18 +79,18 @@ def assign_section_ids(entries: Column) -> Column:
     number = X.uni(fixed.SECTION_NUMBER)
     out = "array<struct<id:string,title:string,level:int>>"
     start = F.struct(
-        F.array_repeat(F.lit(0), width).alias("count"), F.array().cast(out).alias("rows"))
+        F.array_repeat(F.lit(0).cast("decimal(38,0)"), width).alias("count"), F.array().cast(out).alias("rows"))
 
     def step(state: Column, e: Column) -> Column:
         title = X.strip(X.text_or_empty(e["title"]))
         own = F.regexp_extract(title, number, 1)
         numbered = own != ""
-        parts = F.transform(F.split(own, r"\."), lambda p: p.try_cast("int"))
+        parts = F.transform(F.split(own, r"\."), lambda p: p.try_cast("decimal(38,0)"))
         level = F.when(numbered, F.least(F.size(parts), F.lit(width))).otherwise(
             F.greatest(F.lit(1), F.least(F.coalesce(e["level"], F.lit(1)), F.lit(width))))
-        counters = F.transform(state["count"], lambda n, i: F.when(i >= level, 0)
+        counters = F.transform(state["count"], lambda n, i: F.when(i >= level, F.lit(0).cast("decimal(38,0)"))
                                .when(numbered, F.get(parts, i))
-                               .when(i == level - 1, n + 1).otherwise(n))
+                               .when(i == level - 1, (n + 1).cast("decimal(38,0)")).otherwise(n))
         made = let(counters, lambda cs: F.array_join(F.slice(cs.cast("array<string>"), F.lit(1), level), "."))
         row = F.struct(
             F.when(numbered, own).otherwise(made).alias("id"),

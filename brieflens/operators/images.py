@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions import keywords as K
 from ..functions import text as X
 from ..functions.arrays import term_counts
-from ..sources.store import stored
+from ..sources.shared import stored
 from .numbering import top_k
 
 

@@ -5,8 +5,9 @@ The helpers here keep every window bounded:
 
 * `top_k` relies on the window group limit: each task first keeps its own k
   rows per group, so at most k rows per group and task are shuffled.
-* `number_by_id` and `running_total` cut a group into ranges, number inside
-  each range and add the offset of the ranges before it.
+* `number_by_id` cuts a group into id ranges, `running_total` a whole table
+  into key ranges; both number or sum inside each range and add the offset of
+  the ranges before it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column, rank: str = "rn") -> DataFrame:
     """The first `k` rows of each group, numbered from 1 in column `rank`."""
@@ -42,10 +45,20 @@ def number_by_id(df: DataFrame, by: list[str], id_col: str, out: str, width: int
 
 
 def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
-    """Sum of `amount` over all rows before this one; meant for a table of distinct keys.
+    """Sum of `amount` over all rows whose `order` is smaller; meant for a table of distinct keys with their counts.
 
-    `df` must already be aggregated to one row per key: the window is global,
-    so its size is the number of distinct keys, not of source rows.
+    Keys are dealt out by ranges and kept in the shared folder with the number of
+    their range, as range bounds are drawn anew each time they are asked for.  A
+    window then sums inside a range, and each range adds the totals of those before
+    it (one row per range, met pair by pair), so no task sees more than a range.
     """
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(amount).over(before), F.lit(0)))
+    ranged = stored(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
+    earlier = totals.select(F.col("_range").alias("_before"), F.col("_total").alias("_more"))
+    offsets = totals.join(earlier, F.col("_before") < F.col("_range"), "left").groupBy("_range").agg(
+        F.coalesce(F.sum("_more"), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_inside", F.sum(amount).over(inside))
+    same = Window.partitionBy("_range", order)
+    placed = summed.withColumn("_own", F.sum(amount).over(same)).join(offsets, "_range")
+    return placed.withColumn(out, F.col("_offset") + F.col("_inside") - F.col("_own")).drop("_range", "_offset", "_inside", "_own")

@@ -13,7 +13,7 @@ from ..operators import postings as P
 from ..operators import ranking as R
 from ..operators.numbering import number_by_id
 from ..sources import tables as T
-from ..sources.store import shared_dir
+from ..sources.shared import shared_dir
 from . import oracle as O
 from .registry import register
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunking as B
-from ..sources.store import shared_dir
+from ..sources.shared import shared_dir
 from ..sources import store as S
 from ..sources import tables as T
 from . import oracle as O

@@ -159,16 +159,21 @@ def page_chunks(spark, d):
 
 
 @register("assign_section_ids", f"""
-WITH {O.DRAFT_LINES}, e AS (SELECT doc_id, i, {O.strip('x')} AS title, CAST(i % 3 + 1 AS INT) AS level FROM raw_lines WHERE NOT regexp_matches({O.strip('x')}, '^\\s*(\\d+(\\.\\d+)*)\\.?[\\s -–:]+(.+?)\\s*$')),
-w AS (SELECT *, i // 3 + 1 AS a FROM e)
-SELECT doc_id, i, CASE level WHEN 1 THEN '' || a WHEN 2 THEN a || '.1' ELSE a || '.1.1' END AS section_id, title, level FROM w
-WHERE doc_id NOT IN (SELECT doc_id FROM raw_lines WHERE regexp_matches({O.strip('x')}, '^\\d'))""")
+WITH RECURSIVE {O.DRAFT_LINES}, e AS MATERIALIZED (SELECT doc_id, i, title, i % 3 + 1 AS lvl,
+  string_split(regexp_extract(title, '{fixed.SECTION_NUMBER.replace(chr(92) + "z", "$")}', 1), '.') AS parts,
+  regexp_extract(title, '{fixed.SECTION_NUMBER.replace(chr(92) + "z", "$")}', 2) AS rest FROM (SELECT doc_id, i, {O.strip('x')} AS title FROM raw_lines)),
+walk AS (SELECT doc_id, -1::BIGINT AS i, list_transform(range(12), lambda k: 0::HUGEINT) AS c, 0::BIGINT AS level FROM (SELECT DISTINCT doc_id FROM e)
+  UNION ALL SELECT doc_id, i, list_transform(range(1, 13), lambda k: CASE WHEN k > level THEN 0 WHEN parts[1] <> '' THEN try_cast(parts[k] AS HUGEINT)
+    WHEN k = level THEN c[k] + 1 ELSE c[k] END), level FROM (
+    SELECT e.doc_id, e.i, w.c, e.parts, CASE WHEN e.parts[1] <> '' THEN least(len(e.parts), 12) ELSE lvl END AS level
+    FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1))
+SELECT doc_id, i, CASE WHEN parts[1] <> '' THEN array_to_string(parts, '.') ELSE array_to_string(c[1:level], '.') END AS section_id,
+  CASE WHEN parts[1] <> '' THEN {O.strip('rest')} ELSE title END AS title, CAST(level AS INT) AS level FROM walk JOIN e USING (doc_id, i)""")
 def assign_section_ids(spark, d):
-    """Contents entries cycle through levels 1, 2, 3; documents with numbers of their own are in the fixture tests."""
+    """Contents entries cycle through levels 1, 2, 3; a number in an entry wins and sets the counters."""
     parts = F.split("text", T.SENTENCE_BREAK)
     entries = F.transform(parts, lambda x, i: F.struct(x.alias("title"), (i % 3 + 1).alias("level")))
-    plain = ~F.exists(parts, lambda x: X.strip(x).rlike("^[0-9]"))
-    rows = T.load(spark, d, "documents").filter(plain).select("doc_id", F.posexplode(S.assign_section_ids(entries)).alias("i", "s"))
+    rows = T.load(spark, d, "documents").select("doc_id", F.posexplode(S.assign_section_ids(entries)).alias("i", "s"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.col("s.id").alias("section_id"), "s.title", "s.level")
 
 
