@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import sections as S
 from ..sources import contracts as D
 from ..sources import tables as T
+from ..sources import versions as V
+from ..sources.shared import shared_dir
 from . import oracle as O
 from .checks_queries import CONTRACTS
 from .registry import register
@@ -276,6 +280,31 @@ def version_restore(spark, d):
     return S.restore(v, wanted)
 
 
+@register("version_store", f"""
+WITH {VERSIONS} SELECT project_id, section_id, title, content FROM v1 WHERE CAST(substring(project_id, 2) AS BIGINT) % 3 = 0
+UNION ALL SELECT project_id, section_id, title, content FROM v2 WHERE CAST(substring(project_id, 2) AS BIGINT) % 3 <> 0""")
+def version_store(spark, d):
+    """Two states written and frozen, every third project put back to the first; the table as it is read afterwards."""
+    root = f"{shared_dir(spark)}/versions_{uuid.uuid4().hex}"
+    v1, v2 = two(spark, d)
+    projects = D.contracts(spark, d).select("project_id").distinct()
+    V.save_current(v1, root, projects)
+    V.write_version(spark, root, projects, "v1", "2026-01-01", "first")
+    V.save_current(v2, root, projects)
+    V.write_version(spark, root, projects, "v2", "2026-02-01")
+    third = F.substring("project_id", 2, 12).cast("long") % 3 == 0
+    V.restore(spark, root, projects.filter(third).withColumn("version_id", F.lit("v1")))
+    return V.current(spark, root).select("project_id", "section_id", "title", "content")
+
+
+@register("export_bundle", f"WITH {BASE} SELECT a.project_id, a.section_id, a.content FROM approved a WHERE CAST(split_part(a.section_id, '.', 1) AS INT) % 4 = CAST(substring(project_id, 2) AS BIGINT) % 4")
+def export_bundle(spark, d):
+    """As `export_subset`, written as bundles and read back."""
+    path = f"{shared_dir(spark)}/bundle_{uuid.uuid4().hex}"
+    V.write_bundle(export_subset(spark, d), path)
+    return V.read_bundle(spark, path).select("project_id", "section_id", "content")
+
+
 @register("gen_queue", f"WITH {BASE} SELECT s.project_id, s.section_id FROM secs s WHERE NOT EXISTS (SELECT 1 FROM approved a WHERE a.project_id = s.project_id AND a.section_id = s.section_id AND a.content <> '')")
 def gen_queue(spark, d):
     return S.gen_queue(secs(spark, d), approved(spark, d))
