@@ -1,8 +1,8 @@
 """Content checks of drafted contracts, all contracts in one job.
 
 `sections` holds project_id, ord, section_id, title, content.  Each contract
-becomes one row with the text of every area it covers; all rules are then
-column expressions over that row, so the rules themselves shuffle nothing.
+becomes one row with the text of every area it covers, gathered in one movement;
+all rules are then column expressions over that row and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -79,21 +79,42 @@ def _joined(parts: Column) -> Column:
 
 
 def area_texts(sections: DataFrame) -> DataFrame:
-    """One row per project: `areas`, a map from area to struct<section_id, title, body>."""
-    located = locate_areas(sections)
-    own = sections.filter(X.text_or_empty(F.col("content")) != "")
-    inside = _text_parts(own).join(located.select("project_id", "section_id", "area"), ["project_id", "section_id"]).filter(
-        (F.col("kind") == 0) | ~F.col("area").isin(C.OWN_TEXT_ONLY)).select("project_id", "area", "kind", "ord", "content")
-    siblings = own.filter(F.contains(X.norm_check_title(F.col("title")), F.lit(C.SIBLING_TITLE))).join(
-        located.filter("area = 'change'").select("project_id", F.col("section_id").alias("_found")), "project_id").filter(
-        F.col("section_id") != F.col("_found")).select(
-        "project_id", F.lit("change").alias("area"), F.lit(2).alias("kind"), "ord", "content")
-    bodies = inside.unionByName(siblings).groupBy("project_id", "area").agg(
-        _joined(F.sort_array(F.collect_list(F.struct("kind", "ord", "content")))).alias("body"))
-    found = located.join(bodies, ["project_id", "area"], "left").select(
-        "project_id", "area", F.struct("section_id", "title", F.coalesce("body", F.lit("")).alias("body")).alias("s"))
-    mapped = found.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("area", "s"))).alias("areas"))
-    return sections.select("project_id").distinct().join(mapped, "project_id", "left")
+    """One row per project: `areas`, a map from area to struct<section_id, title, body>.
+
+    The sections of a contract are gathered once into an array, which is the only movement of a text; areas are then
+    located and their texts joined inside the row.
+    """
+    filled = X.text_or_empty(F.col("content"))
+    one = F.struct("ord", "section_id", "title", filled.alias("content"),
+                   F.contains(X.norm_check_title(F.col("title")), F.lit(C.SIBLING_TITLE)).alias("sibling"),
+                   fitting_areas(F.col("title"), F.col("section_id")).alias("fits"))
+    rows = sections.select("project_id", one.alias("s")).groupBy("project_id").agg(F.collect_list("s").alias("secs"))
+    return rows.select("project_id", F.map_from_entries(F.filter(
+        F.array(*[_area_entry(F.col("secs"), name) for name in C.AREAS]), lambda e: e.isNotNull())).alias("areas"))
+
+
+def _area_entry(secs: Column, name: str) -> Column:
+    """struct<area, s> of an area of the contract, null where no title fits: the preferred id, else the first fit."""
+    fits = F.array_min(F.flatten(F.transform(secs, lambda s: F.transform(
+        F.filter(s["fits"], lambda f: f["area"] == name),
+        lambda f: F.struct(f["other_id"].alias("other_id"), s["ord"].alias("ord"), s["section_id"].alias("section_id"), s["title"].alias("title"))))))
+
+    def part(kind: Column, s: Column) -> Column:
+        return F.struct(kind.cast("int").alias("kind"), s["ord"].alias("ord"), s["content"].alias("content"))
+
+    def body(found: Column) -> Column:
+        own = found["section_id"]
+        inside = lambda s: s["section_id"] == own
+        if name not in C.OWN_TEXT_ONLY:
+            inside = lambda s: (s["section_id"] == own) | F.startswith(s["section_id"], F.concat(own, F.lit(".")))
+        parts = F.transform(F.filter(secs, lambda s: (s["content"] != "") & inside(s)), lambda s: part(s["section_id"] != own, s))
+        if name == "change":
+            parts = F.concat(parts, F.transform(
+                F.filter(secs, lambda s: (s["content"] != "") & s["sibling"] & (s["section_id"] != own)), lambda s: part(F.lit(2), s)))
+        return _joined(F.sort_array(parts))
+
+    return let(fits, lambda f: F.when(f.isNotNull(), F.struct(F.lit(name).alias("area"), F.struct(
+        f["section_id"].alias("section_id"), f["title"].alias("title"), body(f).alias("body")).alias("s"))))
 
 
 # ---------------------------------------------------------------- flags
