@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from ..functions.arrays import count_in, let, term_counts
+from ..functions.arrays import count_in, term_counts
 from .numbering import top_k
 
 

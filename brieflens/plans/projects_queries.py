@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import answers as A
 from ..operators import projects as P
 from ..sources import tables as T
 from . import oracle as O
@@ -92,4 +93,4 @@ def ttl_answer_dedupe(spark, d):
     questions = T.load(spark, d, "events").select(
         F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("key"), F.col("event_id").alias("id"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return P.answer_first_seen(questions)
+    return A.answer_first_seen(questions)

@@ -18,7 +18,7 @@ def first_seen(questions: DataFrame, key: str, at: str, delay: str | None = None
 
     State is bounded by the watermark (one hour by default).  It measures
     repeats from the first question kept in state; the batch twin
-    `operators.projects.answer_first_seen` gives the exact rule.
+    `operators.answers.answer_first_seen` gives the exact rule.
     """
     span = delay or f"{fixed.ANSWER_TTL_SECONDS} seconds"
     return questions.withWatermark(at, span).dropDuplicatesWithinWatermark([key])
