@@ -38,7 +38,7 @@ def effective_weights(categories: DataFrame, overrides: DataFrame) -> DataFrame:
     valid = overrides.select("project_id", "category_no", F.col("weight").try_cast("double").alias("_over")).filter("_over >= 0")
     projects = overrides.select("project_id").distinct()
     every = projects.select("project_id", F.explode(F.sequence(F.lit(1), F.lit(len(fixed.RUBRIC)))).alias("category_no"))
-    return every.join(F.broadcast(categories.select("category_no", "weight")), "category_no").join(
+    return every.join(categories.select("category_no", "weight"), "category_no").join(
         valid, ["project_id", "category_no"], "left").select(
         "project_id", "category_no", F.coalesce("_over", "weight").alias("weight"))
 
@@ -48,7 +48,7 @@ def rejected_weights(categories: DataFrame, overrides: DataFrame) -> DataFrame:
     known = categories.select("category_no", F.lit(True).alias("_known"))
     reason = (F.when(value.isNull(), "not a number").when(F.col("_known").isNull(), "unknown category")
               .when(value < 0, "negative"))
-    return overrides.join(F.broadcast(known), "category_no", "left").select(
+    return overrides.join(known, "category_no", "left").select(
         "project_id", "category_no", reason.alias("reason")).filter("reason is not null")
 
 
@@ -61,7 +61,7 @@ def scorecard(criteria: DataFrame, ratings: DataFrame, weights: DataFrame | None
     """
     points = F.create_map(*[x for name, n in fixed.RATINGS.items() for x in (F.lit(name), F.lit(n).cast("double"))])
     rated = ratings.select("project_id", "criterion_id", normalize_rating(F.col("rating")).alias("rating"))
-    seen = rated.join(F.broadcast(criteria.select("criterion_id", "category_no")), "criterion_id").filter("rating is not null")
+    seen = rated.join(criteria.select("criterion_id", "category_no"), "criterion_id").filter("rating is not null")
     score = F.try_element_at(points, F.col("rating"))
     sums = seen.groupBy("project_id", "category_no").agg(
         F.avg(score).alias("avg"), F.count(score).alias("rated_count"),
@@ -70,7 +70,7 @@ def scorecard(criteria: DataFrame, ratings: DataFrame, weights: DataFrame | None
         F.count("*").alias("criteria_count"), F.first("weight").alias("declared_weight"))
     grid = ratings.select("project_id").distinct().select(
         "project_id", F.explode(F.sequence(F.lit(1), F.lit(len(fixed.RUBRIC)))).alias("category_no")).join(
-        F.broadcast(sizes), "category_no")
+        sizes, "category_no")
     if weights is not None:
         grid = grid.join(weights, ["project_id", "category_no"], "left").withColumn(
             "weight", F.coalesce("weight", "declared_weight"))
@@ -134,7 +134,7 @@ def validate_verdicts(verdicts: DataFrame, criteria: DataFrame, slide_counts: Da
     decks = slide_counts.select(F.col("doc").alias("_deck"), F.lower("doc").alias("_low"), "n")
     known = criteria.select("criterion_id", F.lit(True).alias("_known"))
     rated = verdicts.withColumn("rating", normalize_rating(F.col("rating"))).join(
-        F.broadcast(known), "criterion_id", "left")
+        known, "criterion_id", "left")
     cites = rated.select("project_id", "criterion_id", "part", F.posexplode("slides").alias("pos", "s")).select(
         "project_id", "criterion_id", "part", "pos", F.coalesce("s.doc", F.lit(default_doc)).alias("_doc"), "s.slide")
     named = cites.withColumn("_low", F.lower("_doc")).join(decks, "_low", "left").select(
