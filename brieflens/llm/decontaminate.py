@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import stored, whole_text
 
 SEGMENT = 1 << 22  # bytes of text after which a segment is closed
-CHUNK = 1 << 20  # bytes hashed at once
+CHUNK = 1 << 18  # bytes hashed at once
 BLOCK = 1 << 18  # words (two bytes at least) of test items after which a block is closed
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
