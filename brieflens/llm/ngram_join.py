@@ -12,9 +12,13 @@ too few filled groups also give every n-gram as a key, which covers pairs of
 such sets.  A common line or passage rarely fills a group alone, so it rarely
 makes a key, and no n-gram statistics are needed.
 
+Equal sets are reduced to one row before their keys are dealt out.
+
 Links.  In a block (the sets of one key) every set is first compared with the
 set that has the most keys in common with others, then with one of another
 component; verified links contract blocks of near copies to few components.
+Each such pair first meets the bound below on its count vectors, so that whole
+sets are moved only for pairs that survive it.
 Blocks that still hold several components are indexed: the points
 are the counts of n-grams by hash group, the nodes of a packed R-tree hold the
 largest and smallest counts below them, and the sum of coordinate minima bounds
@@ -49,7 +53,7 @@ DIMS = 256  # coordinates of a count vector
 LEAF, FANOUT = 16, 16
 TILE = 2048
 STARS = 2  # rounds in which a block is compared with one of its sets
-FILTER_BITS = 1 << 26  # fixed size of the membership bitmaps sent to tasks: 8 MB
+SPARE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28  # bits a value in the membership bitmaps sent to tasks; at most 32 MB
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -67,7 +71,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -176,6 +180,16 @@ def count_vector(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
 
 
+def packed_counts(grams: np.ndarray) -> bytes:
+    """The count vector in bytes where all counts fit one, else in four each; the length tells."""
+    counts = count_vector(grams)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "u1" if len(packed) == DIMS else "<u4").astype(np.int32)
+
+
 # -- the index ------------------------------------------------------------------------------------------------------------
 class CountTree:
     """Packed R-tree over count vectors; nodes know the largest counts and the range of sizes below them."""
@@ -260,50 +274,69 @@ def shingled(docs: DataFrame, n: int, like: Likeness, id_col: str, text_col: str
     return stored(rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, sid long, keys array<long>"), "shingles")
 
 
-def bitmap(column: Column, rows: DataFrame) -> np.ndarray:
-    """Which hash values occur: FILTER_BITS bits, whatever the number of rows."""
-    slot = F.pmod(column, F.lit(FILTER_BITS))
-    found = rows.select((slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit")).groupBy("word").agg(
+def bitmap(values: DataFrame) -> np.ndarray:
+    """Which hash values the one column of `values` holds: SPARE bits for each, MOST_BITS at most; more values than
+    that let more others through, which the exact joins that follow take out."""
+    count = values.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SPARE * count).bit_length()))
+    slot = F.pmod(F.col(values.columns[0]), F.lit(bits))
+    found = values.select((slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit")).groupBy("word").agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words
 
 
 def occurs(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values have their bit set in a `bitmap`."""
-    slot = values % FILTER_BITS
+    slot = values % (64 * len(words))
     return (words[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
-def key_rows(sets: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(key, sid), once per set and task; with a bitmap only its keys, and how many of the set's keys are in it."""
-    shared = sets.sparkSession.sparkContext.broadcast(known) if known is not None else None
+def repeated(sets: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The sets (sid, keys) that may occur in several rows, one row each, and the bitmap that tells them."""
+    again = stored(sets.groupBy("sid").agg(F.count("*").alias("rows")).filter("rows > 1").select("sid"), "again")
+    words = bitmap(again)
+    shared = sets.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = shared.value if shared is not None else None
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            new = [k for k, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            ids = batch.column(0).to_numpy()
             if len(seen) > 1_000_000:
                 seen.clear()
-            lists = batch.column(1).take(pa.array(new, pa.int64()))
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.array([ids[k] for k in new], np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
-            made = [keys, owner]
-            if there is not None:
-                use = occurs(there, keys)
-                place = np.repeat(np.arange(len(new)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                common = np.bincount(place[use], minlength=len(new))
-                made = [keys[use], owner[use], common[place[use]]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "sid", "common"][:len(made)])
-
-    return sets.filter("sid IS NOT NULL").select("sid", "keys").mapInArrow(
-        run, "key long, sid long" + (", common long" if shared is not None else ""))
-
-
-def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> tuple[DataFrame, DataFrame]:
+            new = [k for k in np.flatnonzero(occurs(shared.value, ids)) if not (ids[k] in seen or seen.add(ids[k]))]
+            yield batch.take(pa.array(new, pa.int64()))
+
+    rows = sets.mapInArrow(run, "sid long, keys array<long>")
+    return stored(rows.groupBy("sid").agg(F.first("keys").alias("keys")), "repeated"), words
+
+
+def key_rows(sets: DataFrame, known: np.ndarray | None = None, leave: np.ndarray | None = None) -> DataFrame:
+    """(key, sid) of `sets` (sid, keys) but those in the bitmap `leave`; with the bitmap `known` only its keys, and
+    how many of the set's keys are in it."""
+    shared = sets.sparkSession.sparkContext.broadcast((known, leave))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, without = shared.value
+        for batch in batches:
+            if without is not None:
+                batch = batch.filter(pa.array(~occurs(without, batch.column(0).to_numpy())))
+            for start in range(0, len(batch), 2000):
+                part = batch.slice(start, 2000)
+                keys = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(len(part)), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                made = [keys, part.column(0).to_numpy()[place]]
+                if there is not None:
+                    use = occurs(there, keys)
+                    common = np.bincount(place[use], minlength=len(part))
+                    made = [keys[use], made[1][use], common[place[use]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "sid", "common"][:len(made)])
+
+    return sets.mapInArrow(run, "key long, sid long" + (", common long" if known is not None else ""))
+
+
+def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> DataFrame:
     """Stored by sid: sid, vec, grams of the sets in the bitmap, one row each; see `bucketed`."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -311,7 +344,7 @@ def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> tupl
         there = shared.value
         seen: set[int] = set()
         for batch in batches:
-            out = []
+            out, held = [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
             for text in batch.column(0):
@@ -320,38 +353,61 @@ def gram_rows(docs: DataFrame, n: int, known: np.ndarray, text_col: str) -> tupl
                     sid = set_id(grams)
                     if sid not in seen and occurs(there, np.int64(sid)):
                         seen.add(sid)
-                        out.append((sid, count_vector(grams).astype("<u4").tobytes(), grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
-                 pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sid", "vec", "grams"])
+                        out.append((sid, packed_counts(grams), grams.view(np.int64)))
+                        held += len(grams)
+                        if held >= 500_000:  # some megabytes at once, however long the texts
+                            yield rows_of(out)
+                            out, held = [], 0
+            yield rows_of(out)
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([0] + [len(x[2]) for x in out])
+        flat = np.concatenate([x[2] for x in out]) if out else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["sid", "vec", "grams"])
 
     rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "sid long, vec binary, grams array<long>")
     once = rows.groupBy("sid").agg(F.first("vec").alias("vec"), F.first("grams").alias("grams"))
-    return bucketed(once, "grams", "sid")
+    return bucketed(once, "grams", "sid")[0]
 
 
-def verified(pairs: DataFrame, grams: tuple[DataFrame, DataFrame], like: Likeness) -> DataFrame:
-    """The (a, b) of `pairs` that link, by their whole sets.
+def with_column(pairs: DataFrame, grams: DataFrame, column: str) -> DataFrame:
+    """a, b and this column of both sets, as x and y.
 
-    b, which is in few pairs, is joined without moving the sets; a, which may be
-    the hub of very many, by a shuffle that adaptive execution can split.
+    b, which is in few pairs, is joined where its row lies; a, which may be the
+    hub of very many, by a shuffle of the rows that pairs ask for.  Those are
+    stored first: bucketed rows would not be shuffled, and adaptive execution
+    splits the pairs of a hub between two shuffles only.
     """
+    asked = grams.join(pairs.select(F.col("a").alias("sid")).distinct(), "sid", "left_semi")
+    asked = stored(asked.select(F.col("sid").alias("a"), F.col(column).alias("x")), "asked")
+    of_b = grams.select(F.col("sid").alias("b"), F.col(column).alias("y"))
+    return pairs.join(of_b, "b").join(asked, "a").select("a", "b", "x", "y")
+
+
+def tested(pairs: DataFrame, grams: DataFrame, column: str, test, name: str) -> DataFrame:
+    """Stored: the (a, b) of `pairs` whose values of `column` pass the test."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(len(batch)):
-                a, b = x[k].values.to_numpy(), y[k].values.to_numpy()
-                if min(len(a), len(b)) * like.den >= max(len(a), len(b)) * like.num:
-                    keep.append(like.links(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
-                else:
-                    keep.append(False)
+            keep = [test(x[k], y[k]) for k in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda rows, name: rows.select(F.col("sid").alias(name), F.col("grams").alias(f"{name}_grams"))
-    by_id, plain = grams
-    both = pairs.join(of(by_id, "b"), "b").join(of(plain, "a"), "a").select("a", "b", "a_grams", "b_grams")
-    return stored(both.mapInArrow(run, "a long, b long"), "links")
+    return stored(with_column(pairs, grams, column).mapInArrow(run, "a long, b long"), name)
+
+
+def verified(pairs: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
+    """The (a, b) of `pairs` that link: first the bound on count vectors, then the whole sets of those that pass it."""
+    def bounded(x: pa.Scalar, y: pa.Scalar) -> bool:
+        p, q = counts_of(x.as_py()), counts_of(y.as_py())
+        return like.links(int(np.minimum(p, q).sum()), int(p.sum()), int(q.sum()))
+
+    def linked(x: pa.Scalar, y: pa.Scalar) -> bool:
+        p, q = x.values.to_numpy(), y.values.to_numpy()
+        return like.links(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))
+
+    return tested(tested(pairs, grams, "vec", bounded, "bounded"), grams, "grams", linked, "links")
 
 
 def different_blocks(members: DataFrame) -> DataFrame:
@@ -382,11 +438,11 @@ def central(members: DataFrame) -> DataFrame:
     return best.select("key", F.col("best.sid").alias("first"), F.col("best.comp").alias("home"))
 
 
-def residual_pairs(members: DataFrame, grams: tuple[DataFrame, DataFrame], like: Likeness) -> DataFrame:
+def residual_pairs(members: DataFrame, grams: DataFrame, like: Likeness) -> DataFrame:
     """Pairs that the index lets through in blocks that still hold several components."""
     rows = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    rows = rows.join(grams[0].select("sid", "vec"), "sid")
+    rows = rows.join(grams.select("sid", "vec"), "sid")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.select("key", "sid", "hub", "comp", "tile", "vec", other.alias("other"))
     rows = rows.select("key", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "sid", "hub", "comp", "tile", "vec")
@@ -397,7 +453,7 @@ def residual_pairs(members: DataFrame, grams: tuple[DataFrame, DataFrame], like:
         def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(parts)
             rows = {c: table.column(c).to_numpy() for c in ("sid", "comp", "tile", "hub")}
-            rows["vec"] = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<u4").astype(np.int32).reshape(-1, DIMS)
+            rows["vec"] = np.stack([counts_of(x) for x in table.column("vec").to_pylist()])
             made: list[tuple[int, int]] = []
             for pair in block_pairs(rows, like):
                 made.append(pair)
@@ -432,21 +488,26 @@ def residual_pairs(members: DataFrame, grams: tuple[DataFrame, DataFrame], like:
 def joined(docs: DataFrame, n: int = 5, like: Likeness = Likeness(80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest id that links lead to)."""
     sets = shingled(docs, n, like, id_col, text_col)
-    shared = stored(key_rows(sets).groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
-    members = key_rows(sets, bitmap(F.col("key"), shared)).join(shared, "key", "left_semi").distinct()
+    filled = sets.filter("sid IS NOT NULL").select("sid", "keys")
+    few, again = repeated(filled)
+    keys = key_rows(filled, leave=again).union(key_rows(few))
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
+    known = bitmap(shared)
+    keys = key_rows(filled, known, again).union(key_rows(few, known))
+    members = keys.join(shared, "key", "left_semi").distinct()
     members = stored(different_blocks(stored(members, "members")), "members")
-    grams = gram_rows(docs, n, bitmap(F.col("sid"), members.select("sid").distinct()), text_col)
+    grams = gram_rows(docs, n, bitmap(members.select("sid").distinct()), text_col)
     blocks = members.withColumns({"comp": F.col("sid"), "hub": F.lit(False)})
     links = None
     for turn in range(STARS):
         hubs = stored(central(blocks.filter("NOT hub AND comp != near") if turn else blocks), "hubs")
         met = blocks.join(hubs, "key")
-        pairs = met.filter("comp != home").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+        pairs = stored(met.filter("comp != home").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
         found = verified(pairs, grams, like)
         links = found if links is None else links.union(found)
         marked = met.select("key", "sid", "common", (F.col("hub") | (F.col("sid") == F.col("first"))).alias("hub"))
         blocks = of_several(marked, components(links))
-    links = links.union(verified(residual_pairs(blocks, grams, like), grams, like))
+    links = links.union(verified(stored(residual_pairs(blocks, grams, like), "pairs"), grams, like))
     roots = components(links)
     rows = sets.select("doc_id", "n_shingles", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "sid").alias("node"))
