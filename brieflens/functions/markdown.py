@@ -18,10 +18,9 @@ IMAGE_TAG = r"(?i)<IMAGE\b[^>]*/>"
 
 def sub_each(text: Column, pattern: str, group: int, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of `pattern` by ``fn(group)``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.array_join(F.zip_with(
-        F.split(text, pattern), found,
-        lambda piece, m: F.concat(piece, F.when(m.isNull(), "").otherwise(fn(m)))), "")
+    return let(text, lambda t: F.array_join(F.zip_with(
+        F.split(t, pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)),
+        lambda piece, m: F.concat(piece, F.when(m.isNull(), "").otherwise(fn(m)))), ""))
 
 
 def untag(c: Column) -> Column:
@@ -91,10 +90,10 @@ def _close_gaps(items: Column) -> Column:
 def strip_invented_headings(c: Column, known_ids: Column) -> Column:
     """Drop short lines that read as ``Section N`` or as a numbered known section."""
     def keep(line: Column) -> Column:
-        bare = F.regexp_replace(X.strip(line), X.uni(r"^#{1,6}\s*"), "")
-        head = detect_heading(bare)
-        drop = head.isNotNull() & ((head["kind"] == "section") | F.array_contains(known_ids, head["id"]))
-        return ~(F.coalesce(drop, F.lit(False)) & (word_count(bare) <= 8))
+        return let(F.regexp_replace(X.strip(line), X.uni(r"^#{1,6}\s*"), ""), lambda bare: ~(
+            let(detect_heading(bare), lambda head: F.coalesce(
+                head.isNotNull() & ((head["kind"] == "section") | F.array_contains(known_ids, head["id"])), F.lit(False)))
+            & (word_count(bare) <= 8)))
 
     return _close_gaps(F.filter(lines(c), keep))
 
@@ -141,23 +140,24 @@ def strip_html(c: Column) -> Column:
     Protected spans are swapped for one NUL each while the tags are replaced.
     """
     guard = "(?:" + TABLE_TAG + "|" + IMAGE_TAG + ")"
-    spans = F.regexp_extract_all(c, F.lit(guard), F.lit(0))
-    text = F.array_join(F.split(c, guard), "\x00")
 
     def bold(inner: Column) -> Column:
-        bare = X.strip(untag(inner))
-        return F.when(bare == "", "").otherwise(F.concat(F.lit("**"), bare, F.lit("**")))
-
-    text = sub_each(text, "(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1, bold)
-    text = sub_each(text, "(?is)<title[^>]*>(.*?)</title>", 1, bold)
-    text = sub_each(text, "(?is)<li[^>]*>(.*?)</li>", 1, lambda m: F.concat(F.lit("- "), X.strip(untag(m))))
-    text = X.replace_all(
-        text,
-        ("(?i)</(?:p|div|section|article|blockquote|ul|ol)>", "\n"),
-        ("<[^>]+>", ""), ("\n{3,}", "\n\n"))
-    pieces = F.split(unescape(text), "\x00")
-    return X.strip(F.array_join(F.zip_with(
-        pieces, spans, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
+        return let(X.strip(untag(inner)), lambda bare: F.when(bare == "", "").otherwise(F.concat(F.lit("**"), bare, F.lit("**"))))
+
+    def plain(source: Column) -> Column:
+        text = F.array_join(F.split(source, guard), "\x00")
+        text = sub_each(text, "(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1, bold)
+        text = sub_each(text, "(?is)<title[^>]*>(.*?)</title>", 1, bold)
+        text = sub_each(text, "(?is)<li[^>]*>(.*?)</li>", 1, lambda m: F.concat(F.lit("- "), X.strip(untag(m))))
+        text = X.replace_all(
+            text,
+            ("(?i)</(?:p|div|section|article|blockquote|ul|ol)>", "\n"),
+            ("<[^>]+>", ""), ("\n{3,}", "\n\n"))
+        return X.strip(F.array_join(F.zip_with(
+            F.split(unescape(text), "\x00"), F.regexp_extract_all(source, F.lit(guard), F.lit(0)),
+            lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
+
+    return let(c, plain)
 
 
 def html_to_text(c: Column, max_chars: int) -> Column:

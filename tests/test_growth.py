@@ -28,3 +28,14 @@ def test_contract_lines_are_cut_once_per_document(spark, tmp_path):
     whole = {f"line {i}" for i in range(47)}
     gone = {o for o in range(20) if (7 + o) % 23 == 5 or (7 + o) % 17 == 3}
     assert set(held) == {x for x in whole if int(x[5:]) % 20 not in gone} and len(held) == len(set(held))
+
+
+def test_clean_import_cleans_a_text_once(spark):
+    """No filter repeats the clean-up, and nested replacements name their text once."""
+    from brieflens.operators import sections as S
+    rows = spark.createDataFrame([
+        ("a", "4", "<h2>Big <b>one</b></h2><ul><li>x</li></ul><p>text</p>\n# 4.1 Extra\nSection 2: Other"), ("a", "5", "<p>\nSection 2</p>")],
+        "project_id string, section_id string, content string")
+    made = S.clean_import(rows, rows)
+    assert [tuple(r) for r in made.collect()] == [("a", "4", "**Big one**- x\ntext")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("<li[^>]*>") <= 4
