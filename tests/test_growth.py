@@ -39,3 +39,36 @@ def test_clean_import_cleans_a_text_once(spark):
     made = S.clean_import(rows, rows)
     assert [tuple(r) for r in made.collect()] == [("a", "4", "**Big one**- x\ntext")]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("<li[^>]*>") <= 4
+
+
+def test_repeated_pairs_keep_their_ratio(spark, monkeypatch):
+    """A task compares a pair once, and the remembered ratios are the library's, also after the memory was emptied."""
+    import difflib
+
+    import pandas as pd
+
+    from brieflens.functions import similarity as Y
+    pairs = [("scope of work", "scope of works"), (None, "x"), ("", ""), ("a" * 300, "ab" * 150)] * 50
+    want = [difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in pairs]
+    assert [r.r for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(Y.seq_ratio("a", "b").alias("r")).collect()] == want
+    made = []
+    real = difflib.SequenceMatcher
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *x: made.append(x) or real(*x))
+    a, b = (pd.Series([p[i] for p in pairs]) for i in (0, 1))
+    monkeypatch.setattr(Y, "KNOWN_CHARS", 10_000)
+    assert [x for part in Y.seq_ratio.func(iter([(a, b), (a, b)])) for x in part] == want * 2 and len(made) == 4
+    monkeypatch.setattr(Y, "KNOWN_CHARS", 100)
+    assert [x for part in Y.seq_ratio.func(iter([(a, b)])) for x in part] == want
+
+
+def test_coverage_counts_without_comparing(spark):
+    """The counts equal those of `legal_compare`, and no similarity is computed for them."""
+    from brieflens.operators import review as R
+    shape = "project_id string, section_id string, title string, content string"
+    sections = spark.createDataFrame([("p", "1", "1. Scope", "we work"), ("p", "2", "2. Terms", ""), ("q", "1", "Other", "x")], shape)
+    clauses = spark.createDataFrame([(1, "Scope", "work"), (2, "Terms", "pay"), (3, "Exit", "leave")], "ord long, title string, text string")
+    made = R.legal_coverage(sections, clauses)
+    full = R.legal_compare(sections, clauses).groupBy("project_id").agg(
+        F.count_if(F.col("kind") != "missing").alias("compared"), F.count_if(F.col("kind") == "missing").alias("missing"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, full.collect())) == [("p", 2, 1), ("q", 0, 3)]
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
