@@ -72,3 +72,32 @@ def test_coverage_counts_without_comparing(spark):
         F.count_if(F.col("kind") != "missing").alias("compared"), F.count_if(F.col("kind") == "missing").alias("missing"))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, full.collect())) == [("p", 2, 1), ("q", 0, 3)]
     assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substring_counts_move_no_word(spark, monkeypatch):
+    """Equal to counting term by term, over several blocks of chunks and terms; no word of a text is exploded or exchanged."""
+    from brieflens.operators import ranking as R
+    texts = ["The cat\u00a0sat\u2003concatenated", None, "aaaa anana\x1fanana", "x\tabcdefghijklmnop  ABCDEFGHIJ", "", "ÄÖ straße"]
+    rows = spark.createDataFrame([(i, t, f"Cat {t}") for i, t in enumerate(texts)], "chunk_id long, body string, head string").coalesce(1)
+    terms = ["cat", "a", "aa", "anana", "abcdefghij", "defghijklmno", "ß", "äö", "missing", "\x1f"]
+    for size, block in ((1024, 1000), (2, 3)):
+        monkeypatch.setattr(R, "WORD_ROWS", size)
+        monkeypatch.setattr(R, "TERM_BLOCK", block)
+        made = R.substring_counts(rows, {"b": F.col("body"), "h": F.col("head")}, spark.createDataFrame([(t,) for t in terms * 2], "term string"))
+        want = {(r.chunk_id, t, (r.body or "").lower().count(t), (r["head"] or "").lower().count(t)) for r in rows.collect() for t in terms}
+        got = [tuple(r) for r in made.collect()]
+        assert len(set(got)) == len(got) and set(got) == {w for w in want if w[2] or w[3]}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1  # chunks with terms
+
+
+def test_foreign_names_meet_a_text_once(spark):
+    """Names of one word are found without the text; the longer ones of a section are looked up in it together."""
+    from brieflens.operators import review as R
+    companies = spark.createDataFrame([("a", "Acme"), ("b", "Blue Sky"), ("c", "Blue Moon"), ("d", " ")], "project_id string, company string")
+    approved = spark.createDataFrame([("a", "1", "ACMES met Blue  Sky and blue sky"), ("b", "1", "acme, Blue Moon"), ("c", "2", None)],
+                                     "project_id string, section_id string, content string")
+    made = R.foreign_mentions(approved, companies)
+    assert sorted(map(tuple, made.collect())) == [("a", "1", "blue sky", 1), ("b", "1", "acme", 1), ("b", "1", "blue moon", 1)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(content" not in plan and "Filter Contains" not in plan and "collect_list" in plan
