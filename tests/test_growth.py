@@ -101,3 +101,13 @@ def test_foreign_names_meet_a_text_once(spark):
     assert sorted(map(tuple, made.collect())) == [("a", "1", "blue sky", 1), ("b", "1", "acme", 1), ("b", "1", "blue moon", 1)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(lower(content" not in plan and "Filter Contains" not in plan and "collect_list" in plan
+
+
+def test_vocabulary_meets_terms_without_grams(spark):
+    """The words that contain a term, as by comparing all pairs; no word is cut into pieces that are exchanged."""
+    from brieflens.operators import ranking as R
+    words = ["anana", "banana", "cat", "concatenated", "aaaa", "x", "straße"]
+    terms = ["ana", "cat", "aa", "x", "ß", "concatenated", "none"]
+    made = R.matching_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = {(w, t, w.count(t)) for w in words for t in terms if t in w}
+    assert {tuple(r) for r in made.collect()} == want and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
