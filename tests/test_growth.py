@@ -111,3 +111,29 @@ def test_vocabulary_meets_terms_without_grams(spark):
     made = R.matching_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     want = {(w, t, w.count(t)) for w in words for t in terms if t in w}
     assert {tuple(r) for r in made.collect()} == want and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_topics_are_found_without_grams(spark, monkeypatch):
+    """Equal to comparing every pair, over several blocks; a long phrase is not cut into pieces that are exchanged."""
+    from brieflens.operators import topics as K
+    long = " ".join(f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    words = [["Net Off", "demand", long], ["planning", "DEMAND", "abc"], ["Sites", "demand planning"], ["xyz"], None]
+    chunks = spark.createDataFrame([(p, i, "d", w, "Head" if i else "4 Scope") for p in "pq" for i, w in enumerate(words)],
+                                   "project_id string, chunk_id long, doc_name string, keywords array<string>, section_heading string")
+    asked = ["demand", "wordab worddb", "wordaa wordba", "e", " net ", "", None, "xabcx", "sites of demand planning", "none", "heads"]
+    wanted = spark.createDataFrame([("p", str(i), a) for i, a in enumerate(asked)], "project_id string, section_id string, topic string")
+    rows = [r for r in K.topic_rows(chunks).collect() if r["project_id"] == "p"]
+    want = set()
+    for i, a in enumerate(asked):
+        a = (a or "").strip().lower()
+        close = [r for r in rows if r["topic"] == a] or [r for r in rows if a and (a in r["topic"] or r["topic"] in a)]
+        if close:
+            topic = min(close, key=lambda r: (r["chunk_id"], r["pos"]))["topic"]
+            want |= {(str(i), r["chunk_id"]) for r in rows if r["topic"] == topic}
+    for size in (500_000, 3):
+        monkeypatch.setattr(K, "BLOCK_CHARS", size)
+        made = K.resolve_topics(wanted, chunks)
+        assert {(r["section_id"], r["chunk_id"]) for r in made.collect()} == want and len(want) > 6
+    close = K.first_close_topics(wanted.select("project_id", F.col("topic").alias("asked")), K.topic_rows(chunks).select("project_id", "topic", "chunk_id", "pos"))
+    plan = close._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan and "Contains" not in plan and "explode(sequence" not in plan
