@@ -137,3 +137,23 @@ def test_topics_are_found_without_grams(spark, monkeypatch):
     close = K.first_close_topics(wanted.select("project_id", F.col("topic").alias("asked")), K.topic_rows(chunks).select("project_id", "topic", "chunk_id", "pos"))
     plan = close._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" not in plan and "Contains" not in plan and "explode(sequence" not in plan
+
+
+def test_scope_meets_files_on_what_it_names(spark, tmp_path):
+    """No query compares its chunks with all its files: every join has equal keys and no alternative; a row of nulls frees a query."""
+    from brieflens.operators import postings as P
+    chunks = spark.createDataFrame([(p, f"f{i // 2}", i, f"N{i // 2}.docx", "", "x") for p in "ab" for i in range(8)],
+                                   "project_id string, file_id string, chunk_id long, doc_name string, section_heading string, chunk_text string")
+    index = P.build(chunks, str(tmp_path / "i"), kinds=("word",), groups=2)
+    scores = spark.range(6).select(F.col("id").alias("q_id")).join(chunks.select("project_id", "chunk_id"))
+    scope = spark.createDataFrame([(0, "a", None), (1, None, "n1.DOCX"), (2, "b", "n0.docx"), (3, None, None), (3, "a", None), (4, "a", "-")],
+                                  "q_id long, project_id string, doc string")
+    made = P.in_scope(scores, index, scope, None)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["q_id"], []).append((r["project_id"], r["chunk_id"]))
+    every = sorted((p, i) for p in "ab" for i in range(8))
+    assert {q: sorted(v) for q, v in got.items()} == {
+        0: [("a", i) for i in range(8)], 1: [(p, i) for p in "ab" for i in (2, 3)], 2: [("b", 0), ("b", 1)], 3: every, 5: every}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and " OR " in line]
