@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import WIDE_ROWS, small_batches, stored, whole_text
 
 SEGMENT = 1 << 22  # bytes of text after which a segment is closed
 CHUNK = 1 << 18  # bytes hashed at once
@@ -277,7 +277,8 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             yield closed(ids, texts)
 
     made = rows.mapInArrow(run, f"ids array<{kind}>, n_words array<long>, starts binary, terms binary, ends binary, places binary")
-    return stored(made.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    with small_batches(docs.sparkSession):
+        return stored(made.withColumn("segment", F.monotonically_increasing_id()), "postings", **WIDE_ROWS)
 
 
 def windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +308,8 @@ def windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str
         if texts:
             yield closed(ids, texts)
 
-    return stored(rows.mapInArrow(run, f"item_ids array<{kind}>, " + ", ".join(f"{x} binary" for x in WINDOW_COLUMNS)), "windows")
+    with small_batches(items.sparkSession):
+        return stored(rows.mapInArrow(run, f"item_ids array<{kind}>, " + ", ".join(f"{x} binary" for x in WINDOW_COLUMNS)), "windows", **WIDE_ROWS)
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> list[dict[str, int]]:
@@ -324,7 +326,7 @@ def matches(index: DataFrame, items: DataFrame, width: int = 10, span: int | Non
     with a window there), stretches (array of first, last: word numbers, from 0).
 
     Without `span` a window must stand as it is; with it, its words must lie within `span` words, in any order.  A
-    document has one row for each block of test windows it holds any of.
+    document has one row for each block of test windows it holds any of.  They are stored: segments are read in small batches.
     """
     blocks = windows(items, width, id_col, text_col)
     kind, item = (x.split("<")[1][:-1] for x in (index.schema["ids"].dataType.simpleString(), blocks.schema["item_ids"].dataType.simpleString()))
@@ -371,7 +373,8 @@ def matches(index: DataFrame, items: DataFrame, width: int = 10, span: int | Non
                      pa.array([x[2] for x in out], kinds[4])], names=["segment", "number", "doc_id", "item_ids", "stretches"])
 
     pairs = index.select("segment", "ids", *SEGMENT_COLUMNS).crossJoin(blocks)  # each segment meets each block of the test set
-    return pairs.mapInArrow(run, shape)
+    with small_batches(index.sparkSession):
+        return stored(pairs.mapInArrow(run, shape), "matches")
 
 
 def covered(stretches: Column) -> Column:

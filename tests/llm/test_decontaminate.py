@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -126,3 +127,21 @@ def test_rarest_list_comes_first(monkeypatch):
     monkeypatch.setattr(D, "among", lambda values, of: sizes.append(len(values)) or real(values, of))
     assert D.phrase(segment, segment.find(low, high)).tolist() == [4]
     assert sizes == [1, 1]
+
+
+def test_wide_rows_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Row groups are closed by their size, not after a hundred segments; batches are small only while a table is stored."""
+    import pyarrow.parquet as pq
+
+    from brieflens.llm import common
+    monkeypatch.setitem(common.WIDE_ROWS, "parquet.block.size", "100000")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    own = spark.conf.get(common.BATCH_BYTES)
+    index = D.indexed(docs, size=10_000)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 40 and max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 8
+    found = D.contamination(index, spark.createDataFrame([(1, " ".join(f"w7x{j}" for j in range(50, 80)))], "item_id long, text string"))
+    assert [(r["doc_id"], r["n_hit"]) for r in found.collect() if r["contaminated"]] == [(7, 30)]
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark, "1m"):
+        assert spark.conf.get(common.BATCH_BYTES) == "1m" and 1 / 0
+    assert spark.conf.get(common.BATCH_BYTES) == own
